@@ -27,32 +27,47 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, posix_path, session, work_path
 
-REMEMBERED = 1_000_000
+#: Words a generation holds: bounds a worker's memory.
+REMEMBERED = 700_000
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 SHARD = "shard int, folder string, n_docs long, n_ids long"
 
 
 class WordIds(dict):
     """Word -> its ids as bytes.  The vocabulary's pre-tokenizer drops white space, so
-    texts are encoded word by word; texts with unusual white space are encoded whole."""
+    texts are encoded word by word; texts with unusual white space are encoded whole.
+
+    A word not seen before gives up the stops at its end and its ASCII capitals, as the
+    library would itself: letters never share a token with stops, and the vocabulary is
+    lower case.  Words with ``<`` may hold special strings and go to the library as they
+    are.  Two generations of words are remembered: a full one replaces the older.
+    """
 
     def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.dtype = Tokenizer.from_file(path), dtype
+        self.library, self.dtype, self.older = Tokenizer.from_file(path), dtype, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.whole(word.decode())
+        ids = self.older.get(word)
+        if ids is None:
+            head = word.rstrip(b".,;:!?")
+            plain = head.lower()
+            if b"<" not in word and plain != word and (head == word or head[-1:].isalpha()):
+                return self[plain] + (self[word[len(head) :]] if head != word else b"")
+            ids = self.whole(word.decode())
+        self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
             return self.whole(text)
         if len(self) > REMEMBERED:
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
@@ -60,6 +75,13 @@ class WordIds(dict):
 _ENCODERS: dict[tuple[str, str], WordIds] = {}
 
 
+def encoder(path: str, dtype: str) -> WordIds:
+    """One encoder per worker process: what it remembers serves the tasks that follow."""
+    if (path, dtype) not in _ENCODERS:
+        _ENCODERS[path, dtype] = WordIds(path, dtype)
+    return _ENCODERS[path, dtype]
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 1,
                       shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write; returns the manifest: shard, folder, n_docs, n_ids, base.
@@ -80,9 +102,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer_path, dtype) not in _ENCODERS:
-            _ENCODERS[tokenizer_path, dtype] = WordIds(tokenizer_path, dtype)
-        coder = _ENCODERS[tokenizer_path, dtype]
+        coder = encoder(tokenizer_path, dtype)
         context = TaskContext.get()
         shard, item, end = context.partitionId(), np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
         os.makedirs(local, exist_ok=True)
