@@ -78,7 +78,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     """
     bench = materialise(shingles_of(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "text", ["item_id"]).where("size(hashes) > 0"), "items")
     seeds = materialise(bench.select(F.explode("hashes").alias("h"), F.col("n_words").alias("size")).distinct(), "seeds")
-    found = (shingles_of(docs, text_col, [id_col]).select(F.col(id_col).alias("doc_id"), F.posexplode("hashes").alias("pos", "h"))
+    # The outer form: for the inner one Spark infers a filter on the array's size and
+    # works the shingles out a second time in it.
+    found = (shingles_of(docs, text_col, [id_col]).select(F.col(id_col).alias("doc_id"), F.posexplode_outer("hashes").alias("pos", "h"))
              .join(checked(seeds), "h").select("doc_id", "pos", "size"))
     places = materialise(found.groupBy("doc_id").agg(F.collect_set(F.struct("size", "pos")).alias("places")), "places")
     # Only documents with a shared shingle are read again.
@@ -86,7 +88,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     marked = shingles_of(again, text_col, [id_col]).withColumnRenamed(id_col, "doc_id").join(places, "doc_id")
     begin = lambda p: F.greatest(F.lit(0), F.least(p["pos"], F.col("n_words") - p["size"]))
     starts = F.array_distinct(F.transform("places", lambda p: F.struct(p["size"].alias("size"), begin(p).alias("start"))))
-    windows = (marked.select("doc_id", "hashes", F.explode(starts).alias("w"))
+    windows = (marked.select("doc_id", "hashes", F.explode_outer(starts).alias("w"))
                .select("doc_id", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.slice("hashes", F.col("w.start") + 1, F.col("w.size") - (WIDTH - 1)).alias("hashes")))
     # Equal windows - copies, or one passage in many documents - are compared once.
     keyed = materialise(windows.withColumn("content", F.xxhash64("hashes")), "windows")
