@@ -1,0 +1,387 @@
+"""Each operator against a brute-force version on small texts with awkward cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from claimlab.llm import bit_slices, chat_format, components, decontaminate, merkle, mixing, quality, secrets, simhash_dedup, token_counts, token_files, toxicity  # noqa: E402
+
+SCHEMA = "doc_id long, text string, source string, fp string, size string, bucket int, rank int, spans string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
+
+
+def texts(seed=1, n=40):
+    rng = random.Random(seed)
+    out = [sentence(rng, rng.randint(1, 120)) for _ in range(n)]
+    long = sentence(rng, 4000)
+    near = out[5].split()
+    return [*out, None, "", " \t\n", out[3], out[3], long, long + " tail", " ".join(near[:-1]), "Ünïcödé ça déjà  vu\n\nnew  para", "a b  c", "<|endoftext|> x"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, ["s1", "s2", None, "s0"][k % 4], "x", "y", 1, 2, "z") for k, t in enumerate(texts())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_token_counts(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    cache = f"file://{tmp_path}/cache"
+    for _ in range(2):  # the second time everything is in the cache
+        got = by_id(token_counts.token_counts(docs, path, cache))
+        for k, t in enumerate(texts()):
+            n = len(library.encode(t or "", add_special_tokens=False).ids)
+            assert (got[k]["n_bytes"], got[k]["n_tokens"], got[k]["over_limit"]) == (len((t or "").encode()), n, n > 512)
+    assert spark.read.parquet(cache).count() == len({t or "" for t in texts()})
+    assert token_counts.token_counts(empty, path).count() == 0
+
+
+def test_chunks_count_like_the_library():
+    coder = token_counts.ChunkCounts(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "Word", " ", "  ", "\n", "\t", " ", " ", "1", "!?", "'s", "<|endoftext|>", "é"]) for _ in range(rng.randint(0, 30)))
+        assert coder.count(text) == coder.whole(text), repr(text)
+
+
+def test_token_files(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    manifest = token_files.write_token_files(docs.union(docs.where("doc_id = 7")), path, shards=5)
+    rows = sorted(token_files.read_token_files(manifest).collect())
+    wanted, at = [], 0
+    every = sorted([*enumerate(texts()), (7, texts()[7])], key=lambda x: x[0])
+    for k, t in every:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        wanted.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in rows] == wanted
+    assert token_files.read_token_files(token_files.write_token_files(empty, path)).count() == 0
+
+
+def test_word_ids_like_the_library():
+    coder = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "WORD", " ", "\n", " ", "1", "!?", ".", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "Σ", "é"]) for _ in range(rng.randint(0, 30)))
+        assert coder.ids(text) == coder.whole(text), repr(text)
+
+
+def brute_simhash(text, width):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    import xxhash
+
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def smallest_reachable(n, linked):
+    root = list(range(n))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, j in linked:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("split_over", [16_384, 2])
+def test_near_duplicates(docs, empty, split_over):
+    marks = [brute_simhash(t, 3) for t in texts()]
+    linked = [(i, j) for i in range(len(marks)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= 3]
+    want = smallest_reachable(len(marks), linked)
+    got = by_id(simhash_dedup.near_duplicates(docs, split_over=split_over))
+    assert {k: (r["fingerprint"], r["component_id"]) for k, r in got.items()} == {k: (f"{marks[k]:016x}", want[k]) for k in range(len(marks))}
+    assert simhash_dedup.near_duplicates(empty).count() == 0
+
+
+def test_keep_one(docs):
+    found = by_id(simhash_dedup.near_duplicates(docs))
+    kept = simhash_dedup.keep_one(docs.union(docs.where("doc_id = 2")), 3, 3)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in found.values()})
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5, 8])
+def test_bit_slices_find_all_pairs(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    marks = base[rng.integers(0, 12, 300)]
+    for b in range(6):
+        marks = marks ^ (rng.integers(0, 2, 300, dtype=np.uint64) << np.uint64(b * 9))
+    sizes = np.array([1, 2, 64, 65, 3, 165])
+    got = {tuple(map(int, p)) for i, j in bit_slices.near_pairs(marks, sizes, radius) for p in zip(i, j, strict=True)}
+    ends = np.cumsum(sizes)
+    want = {(i, j) for e, s in zip(ends, sizes, strict=True) for i in range(e - s, e) for j in range(i + 1, e) if int(marks[i] ^ marks[j]).bit_count() <= radius}
+    assert got == want
+
+
+def test_components_of_a_long_chain(spark):
+    order = list(range(60))
+    random.Random(1).shuffle(order)
+    links = spark.createDataFrame([*zip(order, order[1:], strict=False), (100, 101), (101, 101), (5, 5)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert got == {**{k: 0 for k in range(1, 60)}, 101: 100}
+
+
+def test_merkle(docs, empty, spark):
+    got = by_id(merkle.edit_fingerprints(docs))
+    all_texts = [t or "" for t in texts()]
+    for k, t in enumerate(all_texts):
+        following = all_texts[(k + 1) % len(all_texts)]
+        changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        row = got[k]
+        assert row["n_chars"] == len(t) and row["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert row["fingerprint"] == merkle.fingerprint(t)[0] and row["edited_fingerprint"] == merkle.fingerprint(changed)[0]
+        assert row["near_next"] == (1.0 if t == following else pytest.approx(merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(following))))
+        assert 0 <= row["near_edited"] <= 1
+    assert merkle.edit_fingerprints(empty).count() == 0
+    alone = merkle.edit_fingerprints(docs.where("doc_id = 3")).collect()
+    assert len(alone) == 1 and alone[0]["near_next"] == 1.0
+    twice = merkle.edit_fingerprints(docs.where("doc_id = 3").union(docs.where("doc_id = 3"))).collect()
+    assert [r["near_next"] for r in twice] == [1.0, 1.0]
+
+
+def test_merkle_branches_locate_an_edit():
+    text = "\n".join(f"line {k} says so. And more." for k in range(60))
+    a, b = merkle.fingerprint(text), merkle.fingerprint(text.replace("line 31 says", "line 31 said"))
+    assert merkle.leaves_of(a[0]) == a[1]
+    assert len(merkle.differing(a[0], b[0])) == 1 and not merkle.differing(a[0], a[0])
+    assert merkle.likeness(a, b) > 0.9 and merkle.likeness(a, a) == 1.0
+
+
+@pytest.mark.parametrize("weights", [(5, 2, 1), (1,)])
+def test_mixing(spark, docs, empty, weights):
+    rows = mixing.mix(docs, weights=weights).collect()
+    sizes = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts())}
+    source = {k: ["s1", "s2", None, "s0"][k % 4] for k in sizes}
+    names = sorted({s for s in source.values() if s}) + [None]
+    total = {s: sum(n for k, n in sizes.items() if source[k] == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    want, budget = dict.fromkeys(names, 0.0), 1.5 * sum(total.values())
+    while budget - sum(want.values()) > 1e-6:  # share, stop at the cap, share the excess
+        free = [s for s in names if want[s] < 2 * total[s] - 1e-9]
+        left = budget - sum(want.values())
+        for s in free:
+            want[s] = min(2 * total[s], want[s] + left * weight[s] / sum(weight[x] for x in free))
+    taken = Counter()
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (sizes[r["doc_id"]], total[s]) and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(want[s], rel=1e-6)
+        taken[s] += r["taken"]
+    assert len(rows) == len(sizes) and all(abs(taken[s] - want[s]) < 1.01 for s in names)
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7), weights=weights).collect()), key=str)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixed_documents_are_whole(docs):
+    took = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    got = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
+    assert got == Counter({k: int(r["taken"] / r["size"] + 0.5) for k, r in took.items() if r["size"] and int(r["taken"] / r["size"] + 0.5)})
+    again = docs.union(docs.where("doc_id = 1"))
+    assert mixing.mixed_documents(again).columns == docs.columns
+
+
+def test_chat_round_trip(spark):
+    said = ["", None, r"\### <next/> </turn>" + "\n", "<turn role=user>\n", "\n\nx", r"\s\l\g\\", "plain"]
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "we<ird>\\", None]), rng.choice(said), "x") for c in range(25) for t in range(rng.randint(1, 7))]
+    rows += [(99, 0, "user", "same", "x")] * 2 + [(None, 0, "user", "no id", "x")]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string"))
+    got = {r["conv_id"]: r for r in chat_format.read_back(chats).collect()}
+    for c in {r[0] for r in rows}:
+        turns = sorted(((t, r or "", x or "") for k, t, r, x, _ in rows if k == c))
+        assert [(r, x) for _, r, x in turns] == [tuple(t) for t in got[c]["turns"]]
+        assert got[c]["loss_text"] == "".join(x for _, r, x in turns if r == "assistant")
+    for r in chats.collect():
+        assert sum(p["chars"] for p in r["mask"]) == len(r["formatted"])
+        assert r["formatted"].count("<turn role=") == r["formatted"].count("</turn>")
+    assert chat_format.chat_digests(chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+BASE = {
+    "assign": re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def entropy_spans(text, window=20):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m.group()
+        if any(re.search(p, run) for p in secrets.ALLOW):
+            continue
+        kind = "entropy_hex" if re.fullmatch(r"[0-9a-fA-F]+", run) else "entropy_base64"
+        hot = []
+        for i in range(len(run) - window + 1):
+            counts = Counter(run[i : i + window]).values()
+            if round(np.log2(window) - sum(n * np.log2(n) for n in counts) / window, 9) >= secrets.THRESHOLDS[kind]:
+                hot.append(i)
+        if hot:
+            yield m.start() + hot[0], kind, m.start() + hot[-1] + window
+
+
+def test_secrets(spark):
+    rng = random.Random(5)
+    key = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    pieces = ["password: token: abcdefghij", "Api_Key='" + key(12, b64) + "'", "secret=token=abcdefgh", "passwd = short", "AKIA" + key(12, b64[:26]), "AKIAAKIA1", "AKIA" + key(30, b64[:26]),
+              key(31, hexa), key(32, hexa), key(80, hexa), "x" + key(40, hexa), key(40, b64), "a" * 50 + key(40, b64) + "b" * 30, "0123456789abcdef" * 3, "é日本", "😀", "TOKEN:\"" + key(20, b64), "long_snake_case_words_here_too", "550e8400-e29b-41d4-a716-446655440000", "\n"]
+    rows = [(k, None if k == 0 else " ".join(rng.sample(pieces, rng.randint(0, 9))), "x") for k in range(120)]
+    got = by_id(secrets.secret_digests(spark.createDataFrame(rows, "doc_id long, text string, spans string")))
+    assert len(got) == 120 and any("entropy_base64" in r["spans"] for r in got.values())
+    for k, text, _ in rows:
+        base = []
+        for kind, p in BASE.items():
+            for m in p.finditer(text or ""):
+                if len(m.group(1)) >= 8 if kind == "assign" else len(m.group()) >= (16 if kind == "access" else 32):
+                    base.append((m.start(), list(secrets.KINDS).index(kind), m.end()))
+        every = sorted(base + [(a, secrets.KINDS.index(n), b) for a, n, b in entropy_spans(text or "")])
+        show = lambda spans: ",".join(f"{secrets.KINDS[n]}:{a}:{b}" for a, n, b in spans)
+        assert got[k]["spans"] == show(every), text
+        assert got[k]["base_sha256"] == hashlib.sha256(show(sorted(base)).encode()).hexdigest()
+        assert [got[k][f"n_{n}"] for n in BASE] == [sum(s[1] == i for s in base) for i in range(3)]
+    assert secrets.secret_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_decontamination(spark, empty):
+    rng = random.Random(6)
+    items = [(k, sentence(rng, rng.randint(20, 40))) for k in range(12)] + [(50, "too short"), (51, None), (52, "same same same same same same same same")]
+    rows = []
+    for k in range(60):
+        words = sentence(rng, rng.randint(0, 60)).split()
+        if k % 2:
+            item = items[k % 12][1].split()
+            for _ in range(k % 3 == 2):
+                item[rng.randrange(len(item))] = rng.choice(WORDS)
+            if k % 7 == 0:
+                item.insert(len(item) // 2, "extra")
+            words[len(words) // 2 : len(words) // 2] = item if k % 3 else [w.upper() for w in item]
+        rows.append((k, " ".join(words), "x"))
+    rows += [(60, None, "x"), (61, items[3][1], "x"), (62, items[3][1][:40], "x"), (63, "same " * 30, "x"), (1, rows[1][1], "x")]
+
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for k, text, _ in rows:
+        s = shingles(split(text))
+        for i, t in items:
+            w = split(t)
+            one = Counter(shingles(w))
+            n = len(w) - 4
+            for at in range(max(1, len(s) - n + 1)) if one else []:
+                two = Counter(s[at : at + n])
+                shared = (one & two).total()
+                alike = shared / (one.total() + two.total() - shared)
+                if alike >= 0.8:
+                    want[k, i] = max(alike, want.get((k, i), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hashes string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 10
+    clean = decontaminate.clean_documents(docs, bench)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {k for k, _ in want}
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
+
+
+def labelled(spark, n=400):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for k in range(n):
+        good, toxic = k % 4 != 0, k % 5 == 1
+        words = sentence(rng, rng.randint(20, 200)).split() if good else [rng.choice(WORDS).upper() + "!!" for _ in range(rng.randint(20, 200))]
+        if toxic:
+            words[3:3] = rng.choices(["idiot", "scum", "moron"], k=3)
+        rows.append((k, " ".join(words), "x"))
+        labels.append((k, int(good), int(toxic)))
+    rows += [(n, None, "x"), (n + 1, "", "x"), (n + 2, rows[0][1], "x"), (n + 2, rows[0][1], "x")]
+    labels += [(n + 9, 1, 1), (None, 1, 1), (0, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("which", ["quality", "toxic"])
+def test_classifiers_learn_and_hold_out(spark, which):
+    docs, labels = labelled(spark)
+    if which == "quality":
+        scored = quality.quality_scores(docs, quality.fit(docs, labels))
+    else:
+        scored = toxicity.toxicity_scores(docs, toxicity.fit(docs, labels))
+    rows = scored.collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    truth = {r["doc_id"]: r[which] for r in labels.dropna().collect()}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    assert {r["doc_id"] for r in held} == {k for k in truth if k is not None and zlib.crc32(str(k).encode()) % 5 == 0 and k < 400}
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
+    flipped = labels.withColumn(which, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col(which)).otherwise(F.col(which)))
+    again = quality.fit(docs, flipped) if which == "quality" else toxicity.fit(docs, flipped)
+    other = quality.quality_scores(docs, again) if which == "quality" else toxicity.toxicity_scores(docs, again)
+    assert sorted((r["doc_id"], r["score"]) for r in rows) == sorted((r["doc_id"], r["score"]) for r in other.collect())
+
+
+@pytest.mark.parametrize("which", ["quality", "toxic"])
+def test_classifiers_without_anything_to_learn(spark, empty, which):
+    docs, labels = labelled(spark, 20)
+    for d, lab in ((docs, labels.limit(0)), (empty, labels), (docs, labels.withColumn(which, F.lit(1)))):
+        got = quality.quality_scores(d, quality.fit(d, lab)) if which == "quality" else toxicity.toxicity_scores(d, toxicity.fit(d, lab))
+        assert got.count() == d.count()
+
+
+def test_quality_gradient():
+    """The learned attention beats a constant, and passages' order does not matter."""
+    rng = np.random.default_rng(0)
+    bags = [rng.normal(0, 1, (rng.integers(1, 6), quality.N_FEATURES)) for _ in range(200)]
+    labels = np.array([float(b[:, 0].max() > 0.8) for b in bags])
+    model = quality.train(bags, labels)
+    assert np.mean((model.score(bags) >= 0.5) == labels) > 0.9
+    assert model.score([b[::-1] for b in bags]) == pytest.approx(model.score(bags))
+
+
+def test_block_max_index_is_exact():
+    rng = np.random.default_rng(3)
+    terms = {f"t{k}".encode(): k for k in range(30)}
+    examples = [(int(i), int(rng.integers(0, 2)), tuple(sorted((int(t), int(rng.integers(1, 4))) for t in rng.choice(30, rng.integers(0, 6), replace=False)))) for i in range(700)]
+    index = toxicity.build_index(terms, rng.uniform(0.5, 3, 30), examples)
+    dense = np.zeros((len(index.ids), 30))
+    for t, (where, values) in enumerate(index.postings):
+        dense[where, t] = values
+    for _, _, vector in examples[:200]:
+        if not vector:
+            continue
+        ts, ws = index.weights(vector)
+        cosine = np.round(dense[:, ts] @ ws, 12)
+        order = np.lexsort((index.ids, -cosine))[: toxicity.NEIGHBOURS]
+        want = [(cosine[i], int(index.ids[i])) for i in order if cosine[i] > 0]
+        assert [(pytest.approx(c), int(index.ids[i])) for c, i in index.nearest(vector)] == want
