@@ -100,7 +100,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     took = materialise(took.where("__n > 0"), "taken")
     # Rows that share an id and size took equally many words in sum; each has its own n.
     order = Window.partitionBy("__id").orderBy("size", F.col("__n").desc())
-    took = took.withColumn("__k", F.row_number().over(order)).drop("size")
+    took = took.withColumn("__k", F.row_number().over(order)).drop("size").hint("merge")
     repeated = took.where("__k > 1").limit(1).count()
     if not repeated:
         joined = docs.join(took, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))

@@ -151,7 +151,8 @@ def keep_one(docs: DataFrame, width: int, radius: int) -> DataFrame:
     found = materialise(near_duplicates(docs, width, radius), "classes")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     stay = materialise(stay, "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # Always by shuffle: the ids that stay grow with the documents.
+    kept = docs.join(stay.select(F.col("doc_id").alias("__id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     if stay.where("n > 1").limit(1).count():
         rank = F.struct(F.col("text"), *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")])
         first = kept.groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), F.struct(*docs.columns).alias("row"))).alias("m"))
