@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, session
 
-LEAF, SECTION = 96, 8
-SENTENCE = re.compile(r"[^.!?]{1,96}[.!?]{0,8}|[.!?]{1,8}")
+LEAF, SECTION = 64, 8
+SENTENCE = re.compile(rf"[^.!?]{{1,{LEAF}}}[.!?]{{0,8}}|[.!?]{{1,8}}")
 #: Up to this many range buckets of ids, each with a row of the next one.
 MOST_BUCKETS = 1024
 
