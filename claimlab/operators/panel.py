@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from claimlab.functions.expressions import avg_rank, clip, ratio
@@ -16,18 +16,19 @@ from claimlab.functions.expressions import avg_rank, clip, ratio
 #: Target volatility of a position, the floor under volatility, the largest position.
 SIGMA_EACH, LEAST_VOL, MOST_POSITION = 0.15, 0.05, 4.0
 
-BY_MARKET = Window.partitionBy("market").orderBy("date")
+def by_market() -> WindowSpec:
+    return Window.partitionBy("market").orderBy("date")
 
 
 def rolling(c: Column | str, n: int, how=F.avg) -> Column:
     """Aggregate of the last n rows, NULL unless all n values are there."""
     c = F.col(c) if isinstance(c, str) else c
-    frame = BY_MARKET.rowsBetween(-(n - 1), 0)
+    frame = by_market().rowsBetween(-(n - 1), 0)
     return F.when(F.count(c).over(frame) == n, how(c).over(frame))
 
 
 def change(c: str, k: int = 1) -> Column:
-    return ratio(F.col(c), F.lag(c, k).over(BY_MARKET)) - 1
+    return ratio(F.col(c), F.lag(c, k).over(by_market())) - 1
 
 
 def market_returns(panel: DataFrame, name: str = "ret", k: int = 1) -> DataFrame:
@@ -78,7 +79,7 @@ def random_sign_positions(positions: DataFrame, seed: int) -> DataFrame:
 
 def contributions(positions: DataFrame) -> DataFrame:
     """Position of the date before times the date's return, by market."""
-    return positions.withColumn("contribution", F.lag("position").over(BY_MARKET) * F.col("ret"))
+    return positions.withColumn("contribution", F.lag("position").over(by_market()) * F.col("ret"))
 
 
 def portfolio_returns(positions: DataFrame, name: str = "ret") -> DataFrame:
@@ -87,7 +88,7 @@ def portfolio_returns(positions: DataFrame, name: str = "ret") -> DataFrame:
 
 
 def panel_turnover(positions: DataFrame) -> DataFrame:
-    moved = positions.withColumn("moved", F.abs(F.col("position") - F.lag("position").over(BY_MARKET)))
+    moved = positions.withColumn("moved", F.abs(F.col("position") - F.lag("position").over(by_market())))
     return moved.groupBy("date").agg(F.avg("moved").alias("turnover")).where("turnover is not null")
 
 
@@ -120,12 +121,12 @@ def integer_contracts(positions: DataFrame, capital: float, point_value: float =
 
 
 def contract_returns(contracts: DataFrame, capital: float, point_value: float = 1.0) -> DataFrame:
-    pnl = F.lag("contracts").over(BY_MARKET) * F.lag("close").over(BY_MARKET) * F.col("ret") * point_value
+    pnl = F.lag("contracts").over(by_market()) * F.lag("close").over(by_market()) * F.col("ret") * point_value
     return contracts.withColumn("pnl", pnl).groupBy("date").agg((F.sum("pnl") / capital).alias("ret")).where("ret is not null")
 
 
 def contract_turnover(contracts: DataFrame, capital: float, point_value: float = 1.0) -> DataFrame:
     """Closing the last month's contracts and opening this month's, over the capital."""
-    before = F.coalesce(F.abs(F.lag("contracts").over(BY_MARKET)), F.lit(0.0))
+    before = F.coalesce(F.abs(F.lag("contracts").over(by_market())), F.lit(0.0))
     now = F.coalesce(F.abs("contracts"), F.lit(0.0))
     return contracts.withColumn("traded", (before + now) * F.col("close") * point_value).groupBy("date").agg((F.sum("traded") / capital).alias("turnover")).where("turnover is not null")
