@@ -301,3 +301,21 @@ def test_streaming_equals_batch(spark, tmp_path):
     w = drift.windowed_rates(stream, "1 day").writeStream.format("memory").queryName("rates").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").start()
     w.awaitTermination()
     assert spark.table("rates").count() > 0
+
+
+def test_packages_and_tools(spark, tmp_path):
+    from claimlab.operators import packages as A
+    from claimlab.operators import studies as Y
+
+    folder = A.save_package(tmp_path, {"claim": {"a": float("nan"), "b": 1}})
+    assert A.verify_package(folder) == [] and A.list_packages(tmp_path) == [folder.name] and A.zip_package(folder).exists()
+    (folder / "claim.json").write_text("{}")
+    (folder / "more.json").write_text("{}")
+    assert A.verify_package(folder) == ["undeclared more.json", "changed claim.json"] and A.verify_package(tmp_path / "none")
+    tools = Y.Tools()
+    tools.add("rows", lambda n: spark.range(n).select("id", F.lit(True).alias("flag")), {"n"})
+    assert tools.run("rows", n=2) and tools.numbers() == [0.0, 1.0]
+    with pytest.raises(KeyError):
+        tools.run("none")
+    with pytest.raises(TypeError):
+        tools.run("rows", m=1)
