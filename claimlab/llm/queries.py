@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, toxicity
+from . import chat_format, quality, secrets, toxicity
 from .chat_format import chat_digests, format_chats
 from .common import table
 from .decontaminate import contaminated
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.SQL}
+    return {"op4_secret_scan": secrets.SQL, "op5_chat_format": chat_format.SQL}

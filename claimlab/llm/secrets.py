@@ -121,3 +121,33 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     return find_secrets(docs).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _places(name: str, pattern: str) -> str:
+    """Matches of a pattern with their places, in SQL."""
+    quoted = pattern.replace("'", "''")
+    return f"""{name}_m AS (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS m, regexp_split_to_array(t, '{quoted}') AS g FROM docs),
+{name}_x AS (SELECT doc_id, unnest(m) AS match, unnest(list_transform(g[1:len(m)], lambda s: length(s))) AS gap, generate_subscripts(m, 1) AS i FROM {name}_m),
+{name} AS (SELECT doc_id, match, CAST(sum(gap) OVER w + sum(length(match)) OVER w - length(match) AS BIGINT) AS a FROM {name}_x WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+_ALLOWED = "|".join(f"(?:{p})" for p in ALLOW).replace("'", "''")
+SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_places('assign', ASSIGN)},
+{_places('access', ACCESS)},
+{_places('hexes', HEX.partition(')')[2])},
+{_places('runs', CANDIDATE.partition(')')[2])},
+windows AS (SELECT doc_id, a, CASE WHEN regexp_full_match(match, '[0-9a-fA-F]+') THEN 3 ELSE 4 END AS kind, unnest(range(0, length(match) - {WINDOW - 1})) AS i, match FROM runs WHERE NOT regexp_matches(match, '{_ALLOWED}')),
+scored AS (SELECT doc_id, a, kind, i, round(log2(CAST({WINDOW} AS DOUBLE)) - list_sum(list_transform(range(1, {WINDOW + 1}), lambda k: log2(CAST({WINDOW} - length(replace(substr(match, i + 1, {WINDOW}), substr(match, i + k, 1), '')) AS DOUBLE)))) / {WINDOW}, 9) AS bits FROM windows),
+hot AS (SELECT doc_id, kind, a + min(i) AS a, a + max(i) + {WINDOW} AS b FROM scored WHERE bits >= CASE WHEN kind = 3 THEN {THRESHOLDS['entropy_hex']} ELSE {THRESHOLDS['entropy_base64']} END GROUP BY doc_id, kind, scored.a),
+spans AS (
+  SELECT doc_id, 0 AS kind, a, a + length(match) AS b FROM assign WHERE length(regexp_extract(match, '{ASSIGN.replace("'", "''")}', 1)) >= 8
+  UNION ALL SELECT doc_id, 1, a, a + length(match) FROM access
+  UNION ALL SELECT doc_id, 2, a, a + length(match) FROM hexes
+  UNION ALL SELECT doc_id, kind, a, b FROM hot),
+named AS (SELECT doc_id, kind, a, b, ['{"', '".join(KINDS)}'][kind + 1] || ':' || a || ':' || b AS s FROM spans)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, kind), '') AS spans
+FROM docs d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
