@@ -24,9 +24,11 @@ from .labelled import training_rows
 
 #: Bounds: labelled documents to learn from, and terms.
 TRAINING_ROWS, TERMS = 20_000, 2_048
-#: A term is associated with the label at this chi-square, in this many distinct texts.
-CHI_SQUARE, LEAST_TEXTS = 20.0, 5
-NEIGHBOURS, BLOCK = 15, 64
+#: A term is associated with the label at this chi-square, in this many distinct texts and
+#: this share of the texts of the rarer label: families of near copies make many rare
+#: words look associated.
+CHI_SQUARE, LEAST_TEXTS, LEAST_SHARE = 20.0, 5, 0.01
+NEIGHBOURS, BLOCK = 15, 256
 PRIOR_WEIGHT = 0.5
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -45,6 +47,7 @@ class Index:
     ids: np.ndarray  # of the examples that have a term, in index order
     labels: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray]]  # by term: examples ascending, weights
+    cuts: list[list[int]]  # by term: where each block's postings begin, and the end
     maxima: np.ndarray  # terms x blocks
     prior: float  # share of label 1 among all examples
     prior_none: float  # ... among those without a term
@@ -68,14 +71,19 @@ class Index:
         for block in np.argsort(-bounds, kind="stable"):
             if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-9:
                 break
-            lo, hi = block * BLOCK, (block + 1) * BLOCK
-            got = np.zeros(BLOCK)
+            lo, got = block * BLOCK, np.zeros(BLOCK)
             for t, w in zip(terms, weights, strict=True):
-                where, values = self.postings[t]
-                a, b = np.searchsorted(where, (lo, hi))
-                got[where[a:b] - lo] += w * values[a:b]
-            hits = np.flatnonzero(got)
-            best = sorted(best + [(-round(got[i], 12), int(self.ids[lo + i]), int(lo + i)) for i in hits])[:k]
+                a, b = self.cuts[t][block], self.cuts[t][block + 1]
+                if a < b:
+                    where, values = self.postings[t]
+                    got[where[a:b] - lo] += w * values[a:b]
+            got = np.round(got, 12)
+            least = -best[-1][0] if len(best) == k else 0.0
+            hits = np.flatnonzero((got >= least) & (got > 0))
+            if len(hits) > k:  # the best of the block, ties with the last of them kept
+                hits = hits[got[hits] >= np.partition(got[hits], -k)[-k]]
+            if len(hits):
+                best = sorted(best + [(-c, i, at) for c, i, at in zip(got[hits].tolist(), self.ids[lo + hits].tolist(), (lo + hits).tolist(), strict=True)])[:k]
         return [(-c, i) for c, _, i in best]
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
@@ -98,7 +106,7 @@ def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[i
     """``examples``: (id, label, vector)."""
     rate = lambda rows: (sum(y for _, y, _ in rows) + 0.5) / (len(rows) + 1)
     none = [e for e in examples if not e[2]]
-    index = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros((len(terms), 0)), rate(examples), rate(none))
+    index = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], np.zeros((len(terms), 0)), rate(examples), rate(none))
     weighed = [(i, y, *index.weights(v)) for i, y, v in examples if v]
     weighed.sort(key=lambda e: (tuple(e[2][np.argsort(-e[3], kind="stable")]), e[0]))
     index.ids = np.array([e[0] for e in weighed], np.int64)
@@ -111,6 +119,8 @@ def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[i
             lists[t][1].append(w)
             index.maxima[t, at // BLOCK] = max(index.maxima[t, at // BLOCK], w)
     index.postings = [(np.array(a, np.int64), np.array(w)) for a, w in lists]
+    borders = np.arange(index.maxima.shape[1] + 1) * BLOCK
+    index.cuts = [np.searchsorted(a, borders).tolist() for a, _ in index.postings]
     return index
 
 
@@ -133,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, n_terms:
     c, d = n1 - a, (n - n1) - b
     chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d))
     counted = distinct.mapInArrow(spread, "word binary, label int").groupBy("word").agg(F.sum("label").alias("with1"), F.count("*").alias("texts"))
-    usable = counted.where((F.col("texts") >= LEAST_TEXTS) & (F.col("texts") < n)) if 0 < n1 < n else counted.where(F.lit(False))
+    enough = max(LEAST_TEXTS, LEAST_SHARE * min(n1, n - n1))
+    usable = counted.where((F.col("texts") >= enough) & (F.col("texts") < n)) if 0 < n1 < n else counted.where(F.lit(False))
     chosen = usable.withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "word").limit(n_terms).collect()
     terms = {bytes(r["word"]): k for k, r in enumerate(chosen)}
 
@@ -148,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, n_terms:
     all_texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     df = dict(all_texts.mapInArrow(having, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))])
-    bare = Index(terms, idf, np.zeros(0), np.zeros(0), [], np.zeros((0, 0)), 0.0, 0.0)
+    bare = Index(terms, idf, np.zeros(0), np.zeros(0), [], [], np.zeros((0, 0)), 0.0, 0.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
