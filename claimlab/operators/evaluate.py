@@ -75,7 +75,7 @@ def spanning(frame: DataFrame, y: str, xs: list[str], order: str = "date", lags:
     coefficients, lagged cross products of the scores the covariance.
     """
     names = ["const", *xs]
-    rows = frame.select(F.col(order).alias("__o"), F.lit(1.0).alias("const"), *[finite(x).alias(x) for x in xs], finite(y).alias("__y")).dropna()
+    rows = frame.select(F.col(order).alias("__o"), F.lit(1.0).alias("const"), *[finite(x).alias(x) for x in xs], finite(y).alias("__y")).dropna().persist()
     k = len(names)
     sums = rows.agg(F.count("*").alias("n"), F.sum("__y").alias("sy"), F.sum(F.col("__y") ** 2).alias("syy"),
                     *[F.sum(F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j],
@@ -90,6 +90,7 @@ def spanning(frame: DataFrame, y: str, xs: list[str], order: str = "date", lags:
     scores = rows.select("__o", u.alias("__u"), *[(F.col(a) * u).alias(f"h{i}") for i, a in enumerate(names)])
     lagged = scores.select("*", *[F.lag(f"h{i}", q).over(w).alias(f"h{i}_{q}") for q in range(1, lags + 1) for i in range(k)])
     got = lagged.agg(F.sum(F.col("__u") ** 2).alias("sse"), *[F.coalesce(F.sum(F.col(f"h{i}") * F.col(f"h{j}_{q}" if q else f"h{j}")), F.lit(0.0)).alias(f"g{q}_{i}_{j}") for q in range(lags + 1) for i in range(k) for j in range(k)]).first()
+    rows.unpersist()
     meat = np.array([[got[f"g0_{i}_{j}"] for j in range(k)] for i in range(k)])
     for q in range(1, lags + 1):
         g = np.array([[got[f"g{q}_{i}_{j}"] for j in range(k)] for i in range(k)])

@@ -30,10 +30,14 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, ret (strategy), xs (second benchmark), passive: three aligned return series."""
+    """date, ret (strategy), passive, xs: three aligned return series, from one pass over
+    the panel."""
     p = panel(spark, sf_dir)
-    out = P.portfolio_returns(P.tsmom_positions(p)).join(P.portfolio_returns(P.passive_positions(p), "passive"), "date")
-    return out.join(P.portfolio_returns(P.xsmom_positions(p), "xs"), "date")
+    kinds = {"ret": P.tsmom_positions, "passive": P.passive_positions, "xs": P.xsmom_positions}
+    for name, positions in kinds.items():
+        p = positions(p).withColumnRenamed("position", f"p_{name}").drop("trailing", "rank", "pct")
+    held = p.select("date", *[(F.lag(f"p_{k}").over(P.by_market()) * F.col("ret")).alias(f"c_{k}") for k in kinds])
+    return held.groupBy("date").agg(*[F.avg(f"c_{k}").alias(k) for k in kinds]).dropna()
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
