@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import parallelism, posix_path, session, work_path
 
 #: Words a generation holds: bounds a worker's memory.
-REMEMBERED = 700_000
+REMEMBERED = 900_000
+#: Longer words with stops or capitals are put together each time: they are rare.
+SHORT = 12
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 SHARD = "shard int, folder string, n_docs long, n_ids long"
 
@@ -57,9 +59,12 @@ class WordIds(dict):
         if ids is None:
             head = word.rstrip(b".,;:!?")
             plain = head.lower()
-            if b"<" not in word and plain != word and (head == word or head[-1:].isalpha()):
-                return self[plain] + (self[word[len(head) :]] if head != word else b"")
-            ids = self.whole(word.decode())
+            if b"<" not in word and plain != word and (head == word or head.decode()[-1:].isalpha()):
+                ids = self[plain] if head == word else self[plain] + self[word[len(head) :]]
+                if len(word) > SHORT:
+                    return ids
+            else:
+                ids = self.whole(word.decode())
         self[word] = ids
         return ids
 
