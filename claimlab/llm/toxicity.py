@@ -27,8 +27,8 @@ TRAINING_ROWS, TERMS = 20_000, 2_048
 #: A term is associated with the label at this chi-square, in this many distinct texts and
 #: this share of the texts of the rarer label: families of near copies make many rare
 #: words look associated.
-CHI_SQUARE, LEAST_TEXTS, LEAST_SHARE = 20.0, 5, 0.01
-NEIGHBOURS, BLOCK = 15, 256
+CHI_SQUARE, LEAST_TEXTS, LEAST_SHARE = 20.0, 5, 0.02
+NEIGHBOURS, BLOCK = 15, 2_048
 PRIOR_WEIGHT = 0.5
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -80,8 +80,9 @@ class Index:
             got = np.round(got, 12)
             least = -best[-1][0] if len(best) == k else 0.0
             hits = np.flatnonzero((got >= least) & (got > 0))
-            if len(hits) > k:  # the best of the block, ties with the last of them kept
+            if len(hits) > k:  # the best k of the block, ties by id
                 hits = hits[got[hits] >= np.partition(got[hits], -k)[-k]]
+                hits = hits[np.lexsort((self.ids[lo + hits], -got[hits]))[:k]]
             if len(hits):
                 best = sorted(best + [(-c, i, at) for c, i, at in zip(got[hits].tolist(), self.ids[lo + hits].tolist(), (lo + hits).tolist(), strict=True)])[:k]
         return [(-c, i) for c, _, i in best]
