@@ -125,11 +125,11 @@ def option_prices(spark, sf):
 PDF = "(exp(-d1 * d1 / 2) / 2.5066282746310002)"
 
 
-@query(f"""WITH {OPTION} SELECT id, {r(N1, 'delta')}, {r(f'{PDF} / (s * v * sqrt(t))', 'gamma', 8)}, {r(f's * {PDF} * sqrt(t)', 'vega')}, {r(f'-s * {PDF} * v / (2 * sqrt(t)) - 0.02 * k * exp(-0.02 * t) * {N2}', 'theta')} FROM e""")
+@query(f"""WITH {OPTION} SELECT id, {r(N1, 'delta')}, {r(f'{PDF} / (s * v * sqrt(t))', 'gamma', 8)}, {r(f's * {PDF} * sqrt(t)', 'vega', 4)}, {r(f'-s * {PDF} * v / (2 * sqrt(t)) - 0.02 * k * exp(-0.02 * t) * {N2}', 'theta', 4)} FROM e""")
 def option_greeks(spark, sf):
     s, k, t, v = map(F.col, "sktv")
     g = _options(spark, sf).withColumn("g", X.bs_greeks(s, k, t, 0.02, v))
-    return rounded(g.select("id", "g.delta", "g.gamma", "g.vega", "g.theta"), 8).withColumns({c: F.round(c, 6) + 0.0 for c in ("delta", "vega", "theta")})
+    return rounded(g.select("id", "g.delta", "g.gamma", "g.vega", "g.theta"), 8).withColumns({c: F.round(c, k) + 0.0 for c, k in (("delta", 6), ("vega", 4), ("theta", 4))})
 
 
 @query(f"WITH {OPTION} SELECT id, {r('v', 'iv', 4)} FROM e WHERE t >= 0.25 AND abs(ln(s / k)) < 0.1")
