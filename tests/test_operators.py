@@ -261,7 +261,7 @@ def test_ledger(spark, tmp_path):
     found = R.digests(spark, f"file://{tmp_path}/*.txt")
     assert R.verify(found, found).count() == 0 and R.verify(found, found.withColumn("sha256", F.lit("0"))).first()["problem"] == "changed"
     with pytest.raises(ValueError):
-        R.VerdictReport("t", "c", "v", {"n": 1.0}).markdown()
+        R.EvidenceReport("t", "c", "v", {"n": 1.0}).markdown()
 
 
 def test_sources(spark, tmp_path):
