@@ -24,11 +24,11 @@ from .labelled import training_rows
 
 #: Bounds: labelled documents to learn from, and terms.
 TRAINING_ROWS, TERMS = 20_000, 2_048
-#: A term is associated with the label at this chi-square, in this many distinct texts and
-#: this share of the texts of the rarer label: families of near copies make many rare
-#: words look associated.
-CHI_SQUARE, LEAST_TEXTS, LEAST_SHARE = 20.0, 5, 0.02
-NEIGHBOURS, BLOCK = 15, 2_048
+#: A term is associated with the label at this chi-square, in this many distinct texts.
+CHI_SQUARE, LEAST_TEXTS = 20.0, 5
+NEIGHBOURS, BLOCK = 15, 8_192
+#: A term that more than one example in so many has is added as a row, not by postings.
+FREQUENT = 8
 PRIOR_WEIGHT = 0.5
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -51,6 +51,7 @@ class Index:
     maxima: np.ndarray  # terms x blocks
     prior: float  # share of label 1 among all examples
     prior_none: float  # ... among those without a term
+    full: dict[int, np.ndarray] = field(default_factory=dict)  # by frequent term: weights of all examples
     known: dict = field(default_factory=dict)
 
     def vector(self, text: str) -> tuple[tuple[int, int], ...]:
@@ -71,15 +72,23 @@ class Index:
         for block in np.argsort(-bounds, kind="stable"):
             if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-9:
                 break
-            lo, got = block * BLOCK, np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
+            lo = block * BLOCK
+            got = np.zeros(min(BLOCK, len(self.ids) - lo))
+            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+                if t in self.full:
+                    got += w * self.full[t][lo : lo + BLOCK]
+                    continue
                 a, b = self.cuts[t][block], self.cuts[t][block + 1]
                 if a < b:
                     where, values = self.postings[t]
                     got[where[a:b] - lo] += w * values[a:b]
-            got = np.round(got, 12)
-            least = -best[-1][0] if len(best) == k else 0.0
+            # Cosines are compared to 12 decimals; only those near the k-th best are rounded.
+            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
+            if len(got) > k:
+                least = max(least, np.partition(got, -k)[-k] - 1e-9)
             hits = np.flatnonzero((got >= least) & (got > 0))
+            got[hits] = np.round(got[hits], 12)
+            hits = hits[got[hits] > 0]
             if len(hits) > k:  # the best k of the block, ties by id
                 hits = hits[got[hits] >= np.partition(got[hits], -k)[-k]]
                 hits = hits[np.lexsort((self.ids[lo + hits], -got[hits]))[:k]]
@@ -120,6 +129,10 @@ def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[i
             lists[t][1].append(w)
             index.maxima[t, at // BLOCK] = max(index.maxima[t, at // BLOCK], w)
     index.postings = [(np.array(a, np.int64), np.array(w)) for a, w in lists]
+    for t, (a, w) in enumerate(index.postings):
+        if len(a) * FREQUENT > len(weighed):
+            index.full[t] = np.zeros(len(weighed))
+            index.full[t][a] = w
     borders = np.arange(index.maxima.shape[1] + 1) * BLOCK
     index.cuts = [np.searchsorted(a, borders).tolist() for a, _ in index.postings]
     return index
@@ -144,8 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, n_terms:
     c, d = n1 - a, (n - n1) - b
     chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d))
     counted = distinct.mapInArrow(spread, "word binary, label int").groupBy("word").agg(F.sum("label").alias("with1"), F.count("*").alias("texts"))
-    enough = max(LEAST_TEXTS, LEAST_SHARE * min(n1, n - n1))
-    usable = counted.where((F.col("texts") >= enough) & (F.col("texts") < n)) if 0 < n1 < n else counted.where(F.lit(False))
+    usable = counted.where((F.col("texts") >= LEAST_TEXTS) & (F.col("texts") < n)) if 0 < n1 < n else counted.where(F.lit(False))
     chosen = usable.withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "word").limit(n_terms).collect()
     terms = {bytes(r["word"]): k for k, r in enumerate(chosen)}
 

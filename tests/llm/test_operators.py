@@ -369,6 +369,17 @@ def test_quality_gradient():
     assert model.score([b[::-1] for b in bags]) == pytest.approx(model.score(bags))
 
 
+def test_rare_toxic_words_are_terms(spark):
+    """The minimum of texts does not grow with the sample."""
+    free = [k for k in range(3_000) if zlib.crc32(str(k).encode()) % 5][:2_400]
+    rows = [(k, f"vermin name{k}" if at < 5 else f"idiot name{k}" if at < 400 else f"calm name{k}") for at, k in enumerate(free)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(k, int(at < 400)) for at, k in enumerate(free)], "doc_id long, toxic int"))
+    assert b"vermin" in index.terms
+    score, near = index.score("You vermin")
+    assert score > 0.5 and len(near) == 5
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(3)
     terms = {f"t{k}".encode(): k for k in range(30)}
