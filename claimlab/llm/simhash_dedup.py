@@ -148,7 +148,13 @@ def keep_one(docs: DataFrame, width: int, radius: int) -> DataFrame:
     Where an id occurs on several rows, one row of it stays (the smallest by text).
     Rows without an id stay only if nobody with an id is in their component.
     """
-    found = materialise(near_duplicates(docs, width, radius), "classes")
+    return keep_founders(docs, near_duplicates(docs, width, radius))
+
+
+def keep_founders(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their component in ``classes`` (doc_id,
+    component_id), as in ``keep_one``."""
+    found = materialise(classes, "classes")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     stay = materialise(stay, "stay")
     # Always by shuffle: the ids that stay grow with the documents.

@@ -9,7 +9,8 @@ from claimlab.llm import quality
 from claimlab.llm.common import materialise, table
 from claimlab.llm.decontaminate import clean_documents
 from claimlab.llm.mixing import mixed_documents
-from claimlab.llm.simhash_dedup import keep_one
+from claimlab.llm.shingle_dedup import alike_documents
+from claimlab.llm.simhash_dedup import keep_founders
 from claimlab.llm.token_files import read_token_files, write_token_files
 
 ORACLE_SQL = None  # the classifier and the tokenizer are not SQL
@@ -21,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one(docs, width=3, radius=3)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return keep_founders(docs, alike_documents(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages keep clean documents and act on the others."""
 
+import random
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -29,3 +31,31 @@ def test_stages(spark):
     out = corpus_pipeline.STAGES[4][1](spark, before, SF).orderBy("start").collect()
     assert len(out) == before.count()
     assert all(a["start"] + a["n_tokens"] == b["start"] and a["doc_id"] <= b["doc_id"] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_dedup_stage_leaves_no_pair_alike(spark):
+    """Every survivor's five-word Jaccard similarity to every other is below 0.8, and
+    whoever went is alike to somebody."""
+    rng = random.Random(5)
+    rows = []
+    for family in range(12):
+        words = [f"w{family}x{k}" for k in range(150)]
+        for _ in range(8):
+            mine = list(words)
+            for at in rng.sample(range(150), rng.randint(0, 5)):
+                mine[at] = f"r{rng.random()}"
+            rows.append((len(rows), " ".join(mine)))
+    rows += [(len(rows) + k, f"lone text number {k} with some words") for k in range(5)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and alike(a, b) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    kept = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
+    for crowded in (0, 3):
+        got = corpus_pipeline.alike_documents(spark.createDataFrame(rows, "doc_id long, text string"), crowded_over=crowded)
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root
