@@ -139,6 +139,16 @@ def implied_volatility(spark, sf):
     return rounded(near.select("id", X.implied_vol(F.col("price"), s, k, t, 0.02).alias("iv")), 4)
 
 
+@query()
+def implied_volatility_all(spark, sf):
+    """All parts.  No SQL: deep in or out of the money many volatilities give one price,
+    so the price at the volatility found is what can be compared."""
+    s, k, t, v = map(F.col, "sktv")
+    priced = _options(spark, sf).withColumn("price", X.bs_price(s, k, t, 0.02, v))
+    priced = priced.withColumn("iv", X.implied_vol(F.col("price"), s, k, t, 0.02))
+    return rounded(priced.select("id", "price", "iv", X.bs_price(s, k, t, 0.02, F.col("iv")).alias("repriced")), 4)
+
+
 @query()
 def strike_from_delta(spark, sf):
     s, t, v = map(F.col, "stv")

@@ -319,3 +319,13 @@ def test_packages_and_tools(spark, tmp_path):
         tools.run("none")
     with pytest.raises(TypeError):
         tools.run("rows", m=1)
+
+
+def test_implied_volatility_of_all_parts(spark):
+    from claimlab.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["implied_volatility_all"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
+    found = [r for r in rows if r["iv"] is not None]
+    assert len(found) > 0.9 * len(rows) and all(abs(r["price"] - r["repriced"]) < 1e-3 for r in found)
