@@ -8,6 +8,7 @@ machine) a folder of our own is chosen.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
@@ -17,14 +18,15 @@ from pyspark.sql import functions as F
 
 from claimlab.session import ship
 
-#: Arrow batches stay small because single texts can be very long.
-ARROW_ROWS = 256
+#: Arrow batches stay small, in rows and in bytes, because single texts can be very long.
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
     """The frame's session, with Arrow batches bounded for long texts."""
     spark = ship(df.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
@@ -55,12 +57,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     the loss of executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, files = _file_system(spark, path)
+    return files.exists(hadoop)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialised frames that nothing reads any more.  Spark drops the shuffle
+    files of plans that the driver's JVM has collected, so it is asked to collect."""
+    for frame in frames:
+        hadoop, files = _file_system(frame.sparkSession, frame._scratch_path)
+        files.delete(hadoop, True)
+    if frames:
+        gc.collect()
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the frame has, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _stars(links: DataFrame) -> bool:
@@ -34,5 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("other > node").join(least, "node").select(F.col("other").alias("hi"), F.col("root").alias("lo")).distinct()
         nearest = large.groupBy("hi").agg(F.min("lo").alias("root"))
         small = large.join(nearest, "hi").select(F.inline(F.array(F.struct("hi", F.col("root").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("root").alias("lo")))))
-        links = materialise(small.where("hi != lo").distinct(), "links")
+        done, links = links, materialise(small.where("hi != lo").distinct(), "links")
+        discard(done)
     return links.toDF("node", "root")

@@ -1,16 +1,24 @@
-"""Near duplicates by exact likeness of word shingles.
+"""Near duplicates by SimHash and exact likeness of word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at
-least 0.8.  Sets that are so alike share a shingle among the first n - ceil(0.8 n) + 1 of
-each, under any order of all shingles (prefix filter): no link is lost.  The order is by
-hash, with the shingles that crowd the prefixes last.  A first round holds neighbours in
-every bucket against the exact similarity; a second one all pairs that the first has not
-put into one component.
+least 0.8.  Copies meet by a digest first, so a text is worked on once.  Then three
+rounds look for links, each among texts that the rounds before have not put into one
+component, and each holds its pairs against the exact similarity:
+
+1. the bit-sliced SimHash comparison, over fingerprints of the five-word shingles;
+2. in each bucket of texts that share a shingle of their prefixes, everybody with the
+   bucket's smallest id;
+3. all pairs of a bucket whose sizes allow the similarity.
+
+Buckets are those of a prefix filter: sets that are alike share a shingle among the first
+n - ceil(0.8 n) + 1 of each, under any order of all shingles, so no link is lost.  The
+order is by hash, with the shingles that crowd the prefixes most last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +26,36 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parallelism, session
+from .common import discard, materialise, parallelism, session
 from .components import components
-from .simhash_dedup import shingle_hashes
-
-WIDTH, PERCENT = 5, 80
-#: A shingle in more prefixes than this is put behind the others.
-CROWDED = 100
+from .simhash_dedup import SEED, links, simhash_of
+
+WIDTH, PERCENT, RADIUS = 5, 80, 3
+#: A shingle in more prefixes than this is put behind the others, the most crowded so many.
+CROWDED, MOST_CROWDED = 100, 65_536
+#: Ids that are broadcast, 8 bytes each, at most.
+SMALL_TABLE_ROWS = 1_000_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the word shingles in order: words as in the SimHash operator, each
+    hashed once, the hashes of a shingle's words combined by place.  A text with fewer
+    words is one shingle, one without words none."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    n = max(1, len(h) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, len(h))):
+        out = (out ^ (out >> np.uint64(29))) * ODD + h[k : k + n]
+    out ^= out >> np.uint64(32)
+    return out * ODD
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
-    """Ascending hashes of the distinct shingles; a shorter text is one shingle."""
+    """Ascending hashes of the distinct shingles."""
     return np.unique(shingle_hashes(text, width)).view(np.int64)
 
 
@@ -39,51 +66,94 @@ def prefix(hashes: np.ndarray, crowded: np.ndarray, percent: int = PERCENT) -> n
     return np.concatenate([hashes[~last], hashes[last]])[: n - -(-percent * n // 100) + 1]
 
 
-def _prefixes(nodes: DataFrame, crowded: np.ndarray, width: int, percent: int) -> DataFrame:
+def alike(s: np.ndarray, t: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether the sets are so alike; empty ones are."""
+    both = len(s) + len(t) - len(np.union1d(s, t))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One row per distinct text: digest, id (the smallest), n, fp, prefix, text."""
+    text = F.coalesce("text", F.lit(""))
+    told = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    distinct = told.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    none = np.zeros(0, np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, fps, firsts = [], [], [none]
+            for x in batch.column(2).to_pylist():
+                h = shingle_hashes(x, width)
+                s = np.unique(h).view(np.int64)
+                sizes.append(len(s))
+                fps.append(simhash_of(h))
+                firsts.append(prefix(s, none, percent) if len(s) else none)
+            ends = np.cumsum([0, *map(len, firsts[1:])])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).cast(pa.binary()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts))), batch.column(2)], ["digest", "id", "n", "fp", "prefix", "text"])
+
+    return materialise(distinct.mapInArrow(mark, "digest binary, id long, n long, fp long, prefix array<long>, text string"), "texts")
+
+
+def _prefixes(texts: DataFrame, crowded: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(h, n, id): the prefixes, the crowded shingles (ascending) last."""
+    none = np.zeros(0, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            sets = [shingle_set(x, width) for x in batch.column(2).to_pylist()]
-            firsts = [prefix(s, crowded, percent) for s in sets]
+            firsts = []
+            for plain, text in zip(batch.column(2), batch.column(3), strict=True):
+                got = plain.values.to_numpy()
+                # Without a crowded shingle in it a prefix is the same in both orders.
+                firsts.append(prefix(shingle_set(text.as_py(), width), crowded, percent) if np.isin(got, crowded).any() else got)
             many = [len(f) for f in firsts]
-            cols = [np.concatenate(firsts), np.repeat([len(s) for s in sets], many), np.repeat(batch.column(0).to_numpy(), many), np.repeat(batch.column(1).to_numpy(), many)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "n", "sig", "rep"])
+            cols = [np.concatenate([none, *firsts]), np.repeat(batch.column(0).to_numpy(), many), np.repeat(batch.column(1).to_numpy(), many)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "n", "id"])
 
-    return nodes.select("sig", "rep", "text").mapInArrow(run, "h long, n long, sig long, rep long")
+    return texts.select("n", "id", "prefix", "text").where("n > 0").mapInArrow(run, "h long, n long, id long")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): representatives of the pairs (x, y) whose exact similarity suffices."""
-    side = lambda x, rep, text: nodes.select(F.col("sig").alias(x), F.col("rep").alias(rep), F.col("text").alias(text))
-    texts = pairs.join(side("x", "a", "left"), "x").join(side("y", "b", "right"), "y").select("a", "b", "left", "right")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """(a, b): the pairs (x, y) of ids whose exact similarity suffices."""
+    pairs = materialise(pairs, f"{name}-pairs")
+    ids = materialise(pairs.select(F.inline(F.array(F.struct(F.col("x").alias("i")), F.struct(F.col("y").alias("i"))))).distinct(), f"{name}-ids")
+    few = F.broadcast(ids) if ids.count() <= SMALL_TABLE_ROWS else ids
+    mine = texts.join(few, texts["id"] == F.col("i"), "left_semi").select("id", "text")
+    right = pairs.join(mine.select(F.col("id").alias("y"), F.col("text").alias("right")).hint("merge"), "y")
+    both = right.join(mine.select(F.col("id").alias("x"), F.col("text").alias("left")).hint("merge"), "x").select("x", "y", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, s = None, None
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = shingle_set(left, width), shingle_set(right, width)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                if left != last:  # pairs come in the order of their first text
+                    last, s = left, shingle_set(left, width)
+                keep.append(alike(s, shingle_set(right, width), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(run, "a long, b long")
+    found = materialise(both.mapInArrow(run, "a long, b long"), name)
+    discard(pairs, ids)
+    return found
 
 
 def _pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
     """(x, y): pairs of a bucket in different components whose sizes allow the similarity.
-    ``rows`` has (h, n, sig, root)."""
+    ``rows`` has (h, n, id, root)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for group in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
-                n, sig, root = group[:, 1], group[:, 2], group[:, 3]
+                n, ids, root = group[:, 1], group[:, 2], group[:, 3]
                 if (root == root[0]).all():
                     continue
                 ends = np.searchsorted(n, n * 100 // percent, "right")
                 for i, end in enumerate(ends.tolist()):
-                    other = sig[i + 1 : end][root[i + 1 : end] != root[i]]
+                    other = ids[i + 1 : end][root[i + 1 : end] != root[i]]
                     if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, sig[i])), pa.array(np.maximum(other, sig[i]))], ["x", "y"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["x", "y"])
 
         rest = np.zeros((0, 4), np.int64)
         for batch in batches:
@@ -94,35 +164,47 @@ def _pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
         if len(rest):
             yield from pairs(rest)
 
-    return rows.repartition(parallelism(rows.sparkSession), "h").sortWithinPartitions("h", "n", "sig").mapInArrow(run, "x long, y long").distinct()
+    return rows.repartition(parallelism(rows.sparkSession), "h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "x long, y long").distinct()
 
 
-def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, crowded_over: int = CROWDED) -> DataFrame:
-    """One row per row: doc_id, component_id - the smallest id that a chain of links
-    reaches.  Null and wordless texts are alike.  Rows without an id join the component
-    of their set of shingles but do not found one."""
-    session(docs)
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = np.array([xxhash.xxh64_intdigest(shingle_set(x, width).tobytes()) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs), batch.column(1)], ["doc_id", "sig", "text"])
 
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(mark, "doc_id long, sig long, text string")
-    marked = materialise(marked, "marked")
-    nodes = materialise(marked.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("text").alias("text")), "sets")
-    known = nodes.where("rep is not null")
-    none = np.zeros(0, np.int64)
-    crowd = np.array([r[0] for r in _prefixes(known, none, width, percent).groupBy("h").count().where(F.col("count") > crowded_over).select("h").collect()], np.int64)
+def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS, crowded_over: int = CROWDED) -> DataFrame:
+    """One row per row: doc_id, component_id - the smallest id that a chain of links
+    reaches.
+
+    Null, empty and wordless texts are alike.  Rows that share an id are one document,
+    alike to another if one of its texts is.  Rows without an id join the component of
+    their copies and are alike to nobody else; they do not found one (component_id null
+    if no copy has an id).  Repeated rows stay repeated, an empty table gives an empty
+    result, other columns are ignored.
+    """
+    session(docs)
+    texts = _texts(docs, width, percent)
+    known = texts.where("id is not null")
+
+    # Texts without a shingle have fingerprint zero: the round meets them there.
+    marks = materialise(known.groupBy("fp").agg(F.min(F.struct("n", "id"))["id"].alias("rep")), "marks")
+    same = known.join(marks.hint("merge"), "fp").where("id != rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    near = links(marks, radius).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    first = _verified(same.union(near).distinct(), known, width, percent, "first-links")
+    crowd = (known.select(F.explode("prefix").alias("h")).groupBy("h").count().where(F.col("count") > crowded_over)
+             .orderBy(F.desc("count"), "h").limit(MOST_CROWDED).select("h").collect())
     bucket = Window.partitionBy("h")
-    shared = materialise(_prefixes(known, np.sort(crowd), width, percent).withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size"), "shared")
-    ordered = bucket.orderBy("n", "sig")
-    beside = (shared.select("n", F.lag("n").over(ordered).alias("m"), F.lag("sig").over(ordered).alias("x"), F.col("sig").alias("y"))
-              .where(F.col("m") * 100 >= F.col("n") * percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    first = materialise(_alike(beside, known, width, percent), "first-links")
-    roots = components(first)
-    rooted = shared.join(roots, F.col("rep") == F.col("node"), "left").select("h", "n", "sig", F.coalesce("root", "rep").alias("root"))
-    second = materialise(_alike(_pairs_apart(rooted, percent), known, width, percent), "second-links")
-    roots = components(first.union(second))
-    classes = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
-    return marked.select("doc_id", "sig").join(classes, "sig").select("doc_id", "component_id")
+    shared = materialise(_prefixes(known, np.sort(np.array([r[0] for r in crowd], np.int64)), width, percent)
+                         .withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size"), "shared")
+
+    rooted = _rooted(shared, components(first))
+    hub = rooted.withColumn("hub", F.min(F.struct("id", "n", "root")).over(bucket)).where("hub.root != root")
+    in_size = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+    second = _verified(hub.where(in_size).select(F.col("hub.id").alias("x"), F.col("id").alias("y")).distinct(), known, width, percent, "second-links")
+
+    rooted = _rooted(shared, components(first.union(second)))
+    third = _verified(_pairs_apart(rooted, percent), known, width, percent, "third-links")
+    roots = components(first.union(second).union(third))
+    classes = materialise(_rooted(texts.select("digest", "id"), roots).select("digest", F.col("root").alias("component_id")), "classes")
+    discard(texts, marks, shared, first, second, third)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    return marked.join(classes.hint("merge"), "digest").select("doc_id", "component_id")

@@ -17,11 +17,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bit_slices import Forest, near_pairs
-from .common import materialise, parallelism, session
+from .common import materialise, parallelism, session, unused
 from .components import components
 
 SEED = 42
@@ -42,7 +42,11 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def simhash(text: str, width: int) -> int:
     """Bit b is set if more than half of the shingles' hashes have it; no words: zero."""
-    h = shingle_hashes(text, width)
+    return simhash_of(shingle_hashes(text, width))
+
+
+def simhash_of(h: np.ndarray) -> int:
+    """The fingerprint of hashes, repeats included."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -145,8 +149,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, split_over
 def keep_one(docs: DataFrame, width: int, radius: int) -> DataFrame:
     """The rows of ``docs`` that stand for their component: the smallest id's.
 
-    Where an id occurs on several rows, one row of it stays (the smallest by text).
-    Rows without an id stay only if nobody with an id is in their component.
+    Where an id occurs on several rows, one row of it stays (the smallest by text, then
+    by the other columns' JSON).  Rows without an id stay only if nobody with an id is
+    in their component.
     """
     return keep_founders(docs, near_duplicates(docs, width, radius))
 
@@ -155,12 +160,13 @@ def keep_founders(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component in ``classes`` (doc_id,
     component_id), as in ``keep_one``."""
     found = materialise(classes, "classes")
+    own, order = unused(docs, "own_id", "own_order")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = materialise(stay, "stay")
+    stay = materialise(stay.select(F.col("doc_id").alias(own), "n"), "stay")
     # Always by shuffle: the ids that stay grow with the documents.
-    kept = docs.join(stay.select(F.col("doc_id").alias("__id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = docs.join(stay.select(own).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
     if stay.where("n > 1").limit(1).count():
-        rank = F.struct(F.col("text"), *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")])
-        first = kept.groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), F.struct(*docs.columns).alias("row"))).alias("m"))
-        kept = first.select("m.row.*")
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *([F.to_json(F.struct(*rest))] if rest else [])))
+        kept = kept.withColumn(order, rank).where(F.col(order) == 1).drop(order)
     return kept

@@ -14,10 +14,12 @@ one row per shard.  Readers map the files into memory.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,74 +29,121 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, posix_path, session, work_path
 
-#: Words a generation holds: bounds a worker's memory.
-REMEMBERED = 900_000
-#: Longer words with stops or capitals are put together each time: they are rare.
-SHORT = 12
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Words a generation holds, and the bytes of the longest that is held: with two
+#: generations 40 MB of a worker's memory, and 80 MB if all words are of that length.
+REMEMBERED, LONGEST = 100_000, 64
+#: Bytes of text, and words, that go through at a time.
+SLAB, AT_ONCE = 1 << 20, 4_096
+#: The settings under which words can be encoded one by one.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+STOPS = re.compile(rb"(?<=[a-z])[.,;:!?]+(?=\s)")
+WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 SHARD = "shard int, folder string, n_docs long, n_ids long"
 
 
-class WordIds(dict):
-    """Word -> its ids as bytes.  The vocabulary's pre-tokenizer drops white space, so
-    texts are encoded word by word; texts with unusual white space are encoded whole.
+class WordIds:
+    """Ids of texts, as bytes, by words between ASCII white space.
 
-    A word not seen before gives up the stops at its end and its ASCII capitals, as the
-    library would itself: letters never share a token with stops, and the vocabulary is
-    lower case.  Words with ``<`` may hold special strings and go to the library as they
-    are.  Two generations of words are remembered: a full one replaces the older.
+    Under the settings ``WORDWISE`` white space only parts tokens, so a text's ids are
+    those of its words.  The words of a batch that are not remembered are joined by
+    spaces and encoded in one call; the tokens' offsets tell them apart.  Two forms are
+    made one first, as the tokenizer would: ASCII capitals go, unless a combining mark
+    might compose with one or a special string might be in the text, and stops between
+    a letter and white space stand alone.  Two generations of words are remembered: a
+    full one replaces the older.  Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library, self.dtype, self.older = Tokenizer.from_file(path), dtype, {}
+        self.library, told = library(path)
+        self.dtype, self.known, self.older = dtype, {}, {}
+        self.wordwise = (all(told.get(k) == v for k, v in WORDWISE.items())
+                         and not any(WHITE.search(t["content"].encode()) or "<" not in t["content"] or t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens", ())))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            head = word.rstrip(b".,;:!?")
-            plain = head.lower()
-            if b"<" not in word and plain != word and (head == word or head.decode()[-1:].isalpha()):
-                ids = self[plain] if head == word else self[plain] + self[word[len(head) :]]
-                if len(word) > SHORT:
-                    return ids
-            else:
-                ids = self.whole(word.decode())
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self.whole(text)
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))
-
-
-_ENCODERS: dict[tuple[str, str], WordIds] = {}
-
+    def words(self, data: bytes) -> list[bytes]:
+        # 0xCC and 0xCD begin the combining marks U+0300 to U+036F.
+        if b"<" not in data and b"\xcc" not in data and b"\xcd" not in data:
+            data = STOPS.sub(rb" \g<0>", data.lower())
+        return data.split()
+
+    def learn(self, missing: set[bytes]) -> None:
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new, width = list(missing - again), np.dtype(self.dtype).itemsize
+        for k in range(0, len(new), AT_ONCE):
+            part = new[k : k + AT_ONCE]
+            plain = [w.decode() for w in part]
+            got = self.library.encode(" ".join(plain), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+            cuts = (np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in plain)])) * width).tolist()
+            raw = np.array(got.ids, self.dtype).tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+
+    def joined(self, parts: list[list[bytes]]) -> list[bytes]:
+        need = set().union(*parts)
+        missing = need - self.known.keys()
+        if missing:
+            if len(self.known) + len(missing) > REMEMBERED:
+                self.older, self.known = self.known, {w: self.known[w] for w in need - missing}
+            self.learn(missing)
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for w in [w for w in missing if len(w) > LONGEST]:
+            del self.known[w]
+        return out
+
+    def ids(self, text: str) -> Iterator[bytes]:
+        """The ids of one text, in pieces: a long one is cut at white space."""
+        if not self.wordwise:
+            yield self.whole(text)
+            return
+        data, begin = text.encode(), 0
+        while len(data) - begin > SLAB and (found := WHITE.search(data, begin + SLAB)):
+            yield self.joined([self.words(data[begin : found.start()])])[0]
+            begin = found.start()
+        yield self.joined([self.words(data[begin:])])[0]
+
+    def batch(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        """The pieces of each text's ids, short texts together."""
+        group: list[str] = []
+        for text in [*texts, None]:
+            if group and (text is None or len(text) + sum(map(len, group)) > SLAB):
+                if len(group) > 1 and self.wordwise:
+                    yield from ([x] for x in self.joined([self.words(t.encode()) for t in group]))
+                else:
+                    yield from map(self.ids, group)
+                group = []
+            group.append(text)
+
+
+@lru_cache(maxsize=1)
+def library(path: str):
+    """The tokenizer of a worker process and the settings in its file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-def encoder(path: str, dtype: str) -> WordIds:
-    """One encoder per worker process: what it remembers serves the tasks that follow."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = WordIds(path, dtype)
-    return _ENCODERS[path, dtype]
+    coder = Tokenizer.from_file(path)
+    coder.no_truncation()
+    coder.no_padding()
+    with open(path, "rb") as f:
+        told = json.load(f)
+    return coder, {k: told.get(k) for k in ("normalizer", "pre_tokenizer", "added_tokens")}
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 1,
                       shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write; returns the manifest: shard, folder, n_docs, n_ids, base.
 
-    ``tokenizer_path`` names a vocabulary whose pre-tokenizer drops white space.
     Null text counts as empty: only the end id.  Rows without an id come first as id
-    -2**63.  Equal ids are ordered by text; repeated rows are written repeatedly.  An
-    empty table gives an empty manifest.  Other columns are ignored.
+    -2**63.  Equal ids are ordered by a hash of their text, then the text, and shards
+    may part them; repeated rows are written repeatedly.  An empty table gives an empty
+    manifest.  Other columns are ignored.
     """
     from tokenizers import Tokenizer
 
@@ -105,9 +154,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     dtype = "<u2" if max(size - 1, end_id) < 2**16 else "<u4"
     n = shards or parallelism(spark)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = keyed.withColumn("mark", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path, dtype)
+        coder = WordIds(tokenizer_path, dtype)  # what it remembers ends with the task
         context = TaskContext.get()
         shard, item, end = context.partitionId(), np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
         os.makedirs(local, exist_ok=True)
@@ -118,11 +168,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             offsets.write(np.uint64(0).tobytes())
             for batch in batches:
                 ends = []
-                for text in batch.column(1).to_pylist():
-                    got = coder.ids(text)
-                    ids.write(got)
+                for pieces in coder.batch(batch.column(1).to_pylist()):
+                    at += sum(ids.write(got) for got in pieces) // item + 1
                     ids.write(end)
-                    at += len(got) // item + 1
                     ends.append(at)
                 offsets.write(np.array(ends, "<u8").tobytes())
                 names.write(np.asarray(batch.column(0).to_numpy(), "<i8").tobytes())
@@ -133,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "folder": [local], "n_docs": [n_docs], "n_ids": [at]})
 
     manifest = f"{folder}/manifest"
-    (keyed.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    (keyed.repartitionByRange(n, "id", "mark").sortWithinPartitions("id", "mark", "text").select("id", "text")
      .mapInArrow(write, SHARD).write.parquet(manifest))
     # One row per shard: the only rows that meet in a single task.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

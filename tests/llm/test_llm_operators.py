@@ -60,12 +60,24 @@ def test_token_counts(spark, docs, empty, tmp_path):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
-def test_chunks_count_like_the_library():
-    coder = token_counts.ChunkCounts(public_tokenizers.path("byte_bpe_50k.json"))
-    rng = random.Random(3)
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "Word", " ", "  ", "\n", "\t", " ", " ", "1", "!?", "'s", "<|endoftext|>", "é"]) for _ in range(rng.randint(0, 30)))
-        assert coder.count(text) == coder.whole(text), repr(text)
+def awkward(seed, n, pieces=30):
+    """Texts of letters whose lower case, composition or spacing is out of the ordinary."""
+    rng = random.Random(seed)
+    some = ["a", "b", "Word", "WORD", "I", "J", "\u0130", "\u01f0", "\u030c", "\u0307", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u0085", "\x1c", ".", ",", "?!", "'", "'s", "'S", "1", "\u00e9", "\u00c9", "e\u0301",
+            "\u00df", "\u1e9e", "\u03a3", "\u03c2", "\u65e5", "\u2167", "\ufb01", "\u212a", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<", "|>"]
+    some += [chr(c) for c in range(0x250) if len(chr(c).lower()) > 1 or len(chr(c).upper()) > 1]
+    return ["".join(rng.choice(some) for _ in range(rng.randint(0, pieces))) for _ in range(n)]
+
+
+def test_counts_like_the_library(monkeypatch):
+    coder = token_counts.LibraryCounts(public_tokenizers.path("byte_bpe_50k.json"))
+    assert coder.cuts
+    some = awkward(3, 3_000)
+    want = [len(coder.library.encode(t, add_special_tokens=False).ids) for t in some]
+    assert coder.counts(some) == want
+    monkeypatch.setattr(token_counts.slabs, "__defaults__", (4,))  # texts are cut wherever they may be
+    assert coder.counts(some) == want
+    assert not token_counts.LibraryCounts(public_tokenizers.path("word_bpe_49k.json")).cuts
 
 
 def test_token_files(spark, docs, empty):
@@ -85,12 +97,36 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_token_files(token_files.write_token_files(empty, path)).count() == 0
 
 
-def test_word_ids_like_the_library():
+@pytest.mark.parametrize("slab, remembered", [(1 << 20, 100_000), (16, 50)])
+def test_word_ids_like_the_library(monkeypatch, slab, remembered):
+    monkeypatch.setattr(token_files, "SLAB", slab)
+    monkeypatch.setattr(token_files, "REMEMBERED", remembered)
     coder = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"), "<u2")
-    rng = random.Random(4)
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "WORD", " ", "\n", " ", "1", "!?", ".", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "Σ", "é"]) for _ in range(rng.randint(0, 30)))
-        assert coder.ids(text) == coder.whole(text), repr(text)
+    assert coder.wordwise
+    some = [*awkward(4, 20_000), "Hello \u0130!", "X.\u0130!?", "\u0130.", "x" * 500 + " y"]
+    for k in range(0, len(some), 50):
+        for text, got in zip(some[k : k + 50], coder.batch(some[k : k + 50]), strict=True):
+            assert b"".join(got) == coder.whole(text), repr(text)
+    assert all(len(w) <= token_files.LONGEST for w in coder.known)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    coder = token_files.WordIds(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    assert not coder.wordwise
+    some = awkward(5, 300)
+    assert [b"".join(x) for x in coder.batch(some)] == [coder.whole(t) for t in some]
+
+
+def test_token_files_without_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(None, "no id"), (None, "no id"), (None, None), (5, "five"), (5, "again five"), (-3, "")]
+    got = token_files.read_token_files(token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, shards=3)).collect()
+    lengths = sorted((-(2**63) if i is None else i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == lengths
+    assert [r["start"] for r in sorted(got, key=lambda r: r["start"])] == sorted(r["start"] for r in got)
 
 
 def brute_simhash(text, width):
