@@ -1,18 +1,22 @@
 """Secret scans in DataFrame operations: fixed patterns, and sliding-window entropy.
 
 Pattern matches get their places from the text around them: ``split`` with the same
-pattern gives the gaps between the matches, so a running sum of gap and match lengths
-gives code-point offsets without any Python.
-
-Entropy: maximal runs of key-like characters are candidates.  A window slides over each;
-the sum of n log2 n over its character counts is updated by the character that leaves
-and the one that enters, so each step costs two counts.  A candidate of hexadecimal
-characters is held against the hexadecimal threshold, any other against that of its
-larger class.  Candidates that match the allow list are suppressed.
+pattern gives the gaps between the matches, and a running sum of gap and match lengths
+gives code-point offsets without any Python.  The sum runs over chunks of matches, so
+that a text with very many is not copied once per match.
+
+Entropy: for each character class - hexadecimal, base64 - the maximal runs of its
+characters are candidates; a run all of whose characters are hexadecimal is one of that
+class only.  Strings of the allow list cut a run: no window touches them.  A window
+slides over what is left and keeps the number of each character in it; the one that
+leaves and the one that enters change two numbers and the sum of n log2 n.  A window
+counts if its entropy reaches its class's threshold and it holds digits and others.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,69 +27,102 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+RUNS = {"entropy_hex": r"(?<![0-9a-fA-F])[0-9a-fA-F]{20,}", "entropy_base64": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"}
+ALL_HEX = "^[0-9a-fA-F]+$"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 WINDOW = 20
 #: Bits per character that a window must reach, of at most 4 and log2(20) = 4.32.
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_base64": 3.9}
-#: Never secrets: words, UUIDs, counting or alphabetic series, numbers, paths of words, placeholders.
+#: Never part of a secret: UUIDs, counting or alphabetic series, placeholders.
 ALLOW = (
-    r"^[A-Za-z_/=+-]+$",
-    r"^[0-9_/=+-]+$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefghijklm|0123456789abcdef|1234567890",
-    r"(?i)example|placeholder|changeme|your[_-]?(api[_-]?)?key",
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    r"(?i:abcdefghijklm|0123456789abcdef|1234567890)",
+    r"(?i:example|placeholder|changeme|your[_-]?(?:api[_-]?)?key)",
 )
+#: The characters of all classes; digits are the 53rd to the 62nd.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+FIRST_DIGIT, LAST_DIGIT = 53, 62
+#: Matches that are placed in one go.
+CHUNK = 256
+PLACED = "array<struct<start:int,match:string>>"
+SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def _placed(bodies: Column, leads: Column) -> Column:
+    """(start, match) of consecutive strings; before each lie ``leads`` characters."""
+    pieces = F.filter(F.zip_with(bodies, leads, lambda b, n: F.struct(b.alias("match"), n.alias("lead"))), lambda p: p["match"].isNotNull())
 
-def _spans(text: Column, pattern: str, found: Column, kind: int, keep) -> Column:
-    """Spans of the matches ``found`` of ``pattern`` in the text, those that are kept."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pieces = F.zip_with(found, gaps, lambda m, gap: F.struct(m.alias("match"), gap.alias("gap")))
-    span = "array<struct<start:int,kind:int,end:int,match:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
+    def one(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + p["lead"]
+        return F.struct((begin + F.length(p["match"])).alias("at"), F.concat(acc["got"], F.array(F.struct(begin.alias("start"), p["match"].alias("match")))).alias("got"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.length(p["match"])
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(keep(p["match"]), F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def chunked(every: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(every, k * CHUNK + 1, CHUNK), F.struct(acc["at"].alias("at"), F.array().cast(PLACED).alias("got")), one)
+            return _bound(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["done"], F.array(p["got"])).alias("done")))
 
+        chunks = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PLACED}>").alias("done")), step, lambda acc: F.flatten(acc["done"]))
+
+    return F.when(F.size(bodies) > 0, _bound(pieces, chunked)).otherwise(F.array().cast(PLACED))
+
+
+def _matches(text: Column, pattern: str, found: Column) -> Column:
+    """(start, match) of the matches ``found`` of ``pattern`` in the text."""
     # split() gives one gap more than there are matches; its last has no match.
-    return F.when(F.size(found) > 0, F.aggregate(F.filter(pieces, lambda p: p["match"].isNotNull()), start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(span))
+    return F.when(F.size(found) > 0, _placed(found, F.transform(F.split(text, pattern, -1), lambda g: F.length(g)))).otherwise(F.array().cast(PLACED))
+
 
+def _spans(placed: Column, kind: int) -> Column:
+    return F.transform(placed, lambda p: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), (p["start"] + F.length(p["match"])).alias("end"), p["match"].alias("match")))
 
-def _term(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
 
+def _cut(run: Column, allowed: str) -> Column:
+    """(start, match) of what is left of a run between the strings of the allow list."""
+    gone = F.regexp_extract_all(run["match"], F.lit(allowed), F.lit(0))
+    leads = F.concat(F.array(F.lit(0)), F.transform(gone, lambda m: F.length(m)))
+    moved = F.transform(_placed(F.split(run["match"], allowed, -1), leads), lambda p: F.struct((p["start"] + run["start"]).alias("start"), p["match"].alias("match")))
+    return F.when(run["match"].rlike(allowed), moved).otherwise(F.array(F.struct(run["start"].alias("start"), run["match"].alias("match"))))
 
-def _count(text: Column, char: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
 
+def high_entropy(text: Column, threshold: float, window: int) -> Column:
+    """(first, last) begin of the windows of the text that count, nulls if none."""
+    terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])
+    codes = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    in_and_out = _bound(codes, lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(F.lit(0), window), c), 1, F.size(c)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves"))))
+    digit = lambda c: c.between(FIRST_DIGIT, LAST_DIGIT).cast("int")
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("digits"), F.lit(1 - window).alias("begin"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
-def high_entropy(span: Column, window: int) -> Column:
-    """(first, last) window begin inside the candidate whose entropy reaches the
-    threshold of its class, nulls if none."""
-    text = span["match"]
-    chars = F.sequence(F.lit(1), F.lit(window))
-    first = F.substr(text, F.lit(1), F.lit(window))
-    total = F.aggregate(chars, F.lit(0.0), lambda acc, k: acc + F.log2(_count(first, F.substr(text, k, F.lit(1))).cast("double")))
-    threshold = F.when(span["kind"] == KINDS.index("entropy_hex"), THRESHOLDS["entropy_hex"]).otherwise(THRESHOLDS["entropy_base64"])
-    bits = F.log2(F.lit(float(window)))
-    # The entropy is log2(window) - total / window; counts are whole numbers, so the
-    # rounding keeps equal windows equal however they were reached.
-    reached = lambda s: F.round(bits - s / window, 9) >= threshold
-    state = F.struct(total.alias("total"), F.when(reached(total), 0).alias("first"), F.when(reached(total), 0).alias("last"))
+    def slide(acc: Column, c: Column) -> Column:
+        old = F.coalesce(F.get(acc["counts"], c["leaves"] - 1), F.lit(0))
+        new = F.get(acc["counts"], c["enters"] - 1) - (c["leaves"] == c["enters"]).cast("int")
+        total = acc["total"] - F.get(terms, old) + F.get(terms, F.greatest(old - 1, F.lit(0))) + F.get(terms, new + 1) - F.get(terms, new)
+        counts = F.transform(acc["counts"], lambda n, i: n + (i + 1 == c["enters"]).cast("int") - (i + 1 == c["leaves"]).cast("int"))
+        now = F.struct(total.alias("total"), (acc["digits"] + digit(c["enters"]) - digit(c["leaves"])).alias("digits"))
 
-    def slide(acc: Column, k: Column) -> Column:
-        leaves, enters = F.substr(text, k, F.lit(1)), F.substr(text, k + window, F.lit(1))
-        rest = F.substr(text, k + 1, F.lit(window - 1))
-        left, got = _count(rest, leaves), _count(rest, enters)
-        total = acc["total"] + _term(left) - _term(left + 1) + _term(got + 1) - _term(got)
-        return F.struct(total.alias("total"), F.coalesce(acc["first"], F.when(reached(total), k)).alias("first"), F.when(reached(total), k).otherwise(acc["last"]).alias("last"))
+        def weigh(s: Column) -> Column:
+            # The rounding keeps equal windows equal however they were reached.
+            hot = (acc["begin"] >= 0) & s["digits"].between(1, window - 1) & (F.round(math.log2(window) - s["total"] / window, 9) >= threshold)
+            return F.struct(counts.alias("counts"), s["total"].alias("total"), s["digits"].alias("digits"), (acc["begin"] + 1).alias("begin"),
+                            F.coalesce(acc["first"], F.when(hot, acc["begin"])).alias("first"), F.when(hot, acc["begin"]).otherwise(acc["last"]).alias("last"))
 
-    steps = F.when(F.length(text) > window, F.sequence(F.lit(1), F.length(text) - window)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, state, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+        return _bound(now, weigh)
+
+    return F.aggregate(in_and_out, start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+
+def _hot(pieces: Column, kind: str, window: int) -> Column:
+    """Spans from the first to the last window that counts in each piece of a run."""
+    long = F.filter(pieces, lambda p: F.length(p["match"]) >= window)
+    seen = F.transform(long, lambda p: F.struct(p.alias("piece"), high_entropy(p["match"], THRESHOLDS[kind], window).alias("hot")))
+    return F.transform(F.filter(seen, lambda w: w["hot"]["first"].isNotNull()), lambda w: F.struct(
+        (w["piece"]["start"] + w["hot"]["first"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (w["piece"]["start"] + w["hot"]["last"] + window).alias("end"),
+        F.substr(w["piece"]["match"], w["hot"]["first"] + 1, w["hot"]["last"] - w["hot"]["first"] + window).alias("match")))
 
 
 def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,25 +130,20 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, window: int =
 
     ``kind`` indexes KINDS; places are code points, the end exclusive.  Null text has no
     spans; repeated rows stay repeated; an empty table gives an empty result.  The allow
-    list suppresses entropy spans only: pattern spans always stay.
+    list suppresses entropy windows only: pattern spans always stay.  ``window`` is at
+    most 20, the shortest run that is looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     all_of = lambda p: F.regexp_extract_all(F.col("text"), F.lit(p), F.lit(0))
-    found = docs.select(F.col(id_col), text.alias("text")).select(
-        id_col, "text", all_of(ASSIGN).alias("m_assign"), all_of(ACCESS).alias("m_access"), all_of(HEX).alias("m_hex"), all_of(CANDIDATE).alias("m_long"))
-    allowed = lambda m: m.rlike("|".join(f"(?:{p})" for p in allow)) if allow else F.lit(False)
-    every = lambda m: F.lit(True)
-    base = F.concat(
-        _spans(F.col("text"), ASSIGN, F.col("m_assign"), 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 8),
-        _spans(F.col("text"), ACCESS, F.col("m_access"), 1, every),
-        _spans(F.col("text"), HEX, F.col("m_hex"), 2, every))
-    runs = _spans(F.col("text"), CANDIDATE, F.col("m_long"), 3, lambda m: ~allowed(m))
-    classed = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), F.when(s["match"].rlike("^[0-9a-fA-F]+$"), 3).otherwise(4).alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
-    windows = F.transform(classed, lambda s: F.struct(s.alias("span"), high_entropy(s, window).alias("hot")))
-    hot = F.transform(F.filter(windows, lambda w: w["hot"]["first"].isNotNull()), lambda w: F.struct(
-        (w["span"]["start"] + w["hot"]["first"]).alias("start"), w["span"]["kind"].alias("kind"), (w["span"]["start"] + w["hot"]["last"] + window).alias("end"),
-        F.substr(w["span"]["match"], w["hot"]["first"] + 1, w["hot"]["last"] - w["hot"]["first"] + window).alias("match")))
-    return found.select(id_col, F.array_sort(F.concat(base, hot)).alias("spans"))
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, **RUNS}
+    found = docs.select(F.col(id_col), text.alias("text")).select(id_col, "text", *[all_of(p).alias(f"m_{k}") for k, p in patterns.items()])
+    placed = {k: _matches(F.col("text"), p, F.col(f"m_{k}")) for k, p in patterns.items()}
+    placed["assign"] = F.filter(placed["assign"], lambda p: F.length(F.regexp_extract(p["match"], ASSIGN, 1)) >= 8)
+    placed["entropy_base64"] = F.filter(placed["entropy_base64"], lambda p: ~p["match"].rlike(ALL_HEX))
+    allowed = "|".join(f"(?:{p})" for p in allow)
+    pieces = {k: F.flatten(F.transform(placed[k], lambda r: _cut(r, allowed))) if allow else placed[k] for k in RUNS}
+    every = [_spans(placed[k], KINDS.index(k)) for k in ("assign", "access", "hex")] + [_hot(pieces[k], k, window) for k in RUNS]
+    return found.select(id_col, F.array_sort(F.concat(*[x.cast(SPANS) for x in every])).alias("spans"))
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
@@ -132,20 +164,35 @@ def _places(name: str, pattern: str) -> str:
 
 
 _ALLOWED = "|".join(f"(?:{p})" for p in ALLOW).replace("'", "''")
+
+
+def _windows(name: str, kind: str, more: str = "true") -> str:
+    """Spans of the windows that count in the runs of a class, in SQL."""
+    return f"""{name}_p AS (SELECT doc_id, a, match, regexp_split_to_array(match, '{_ALLOWED}') AS g, regexp_extract_all(match, '{_ALLOWED}') AS m FROM {name} WHERE {more}),
+{name}_g AS (SELECT doc_id, g[j] AS piece, a + CAST(coalesce(list_sum(list_transform(g[1:j - 1], lambda s: length(s))), 0) + coalesce(list_sum(list_transform(m[1:j - 1], lambda s: length(s))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(g) + 1)) AS j FROM {name}_p)),
+{name}_w AS (SELECT doc_id, a, i, substr(piece, i + 1, {WINDOW}) AS w FROM (SELECT *, unnest(range(0, length(piece) - {WINDOW - 1})) AS i FROM {name}_g)),
+{name}_h AS (SELECT doc_id, {KINDS.index(kind)} AS kind, a + min(i) AS a, a + max(i) + {WINDOW} AS b FROM {name}_w
+  WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[^0-9]')
+    AND round(log2(CAST({WINDOW} AS DOUBLE)) - list_sum(list_transform(range(1, {WINDOW + 1}), lambda k: log2(CAST({WINDOW} - length(replace(w, substr(w, k, 1), '')) AS DOUBLE)))) / {WINDOW}, 9) >= {THRESHOLDS[kind]}
+  GROUP BY doc_id, {name}_w.a)"""
+
+
 SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_places('assign', ASSIGN)},
 {_places('access', ACCESS)},
 {_places('hexes', HEX.partition(')')[2])},
-{_places('runs', CANDIDATE.partition(')')[2])},
-windows AS (SELECT doc_id, a, CASE WHEN regexp_full_match(match, '[0-9a-fA-F]+') THEN 3 ELSE 4 END AS kind, unnest(range(0, length(match) - {WINDOW - 1})) AS i, match FROM runs WHERE NOT regexp_matches(match, '{_ALLOWED}')),
-scored AS (SELECT doc_id, a, kind, i, round(log2(CAST({WINDOW} AS DOUBLE)) - list_sum(list_transform(range(1, {WINDOW + 1}), lambda k: log2(CAST({WINDOW} - length(replace(substr(match, i + 1, {WINDOW}), substr(match, i + k, 1), '')) AS DOUBLE)))) / {WINDOW}, 9) AS bits FROM windows),
-hot AS (SELECT doc_id, kind, a + min(i) AS a, a + max(i) + {WINDOW} AS b FROM scored WHERE bits >= CASE WHEN kind = 3 THEN {THRESHOLDS['entropy_hex']} ELSE {THRESHOLDS['entropy_base64']} END GROUP BY doc_id, kind, scored.a),
+{_places('hexruns', RUNS['entropy_hex'].partition(')')[2])},
+{_places('runs', RUNS['entropy_base64'].partition(')')[2])},
+{_windows('hexruns', 'entropy_hex')},
+{_windows('runs', 'entropy_base64', "NOT regexp_full_match(match, '[0-9a-fA-F]+')")},
 spans AS (
   SELECT doc_id, 0 AS kind, a, a + length(match) AS b FROM assign WHERE length(regexp_extract(match, '{ASSIGN.replace("'", "''")}', 1)) >= 8
   UNION ALL SELECT doc_id, 1, a, a + length(match) FROM access
   UNION ALL SELECT doc_id, 2, a, a + length(match) FROM hexes
-  UNION ALL SELECT doc_id, kind, a, b FROM hot),
+  UNION ALL SELECT doc_id, kind, a, b FROM hexruns_h
+  UNION ALL SELECT doc_id, kind, a, b FROM runs_h),
 named AS (SELECT doc_id, kind, a, b, ['{"', '".join(KINDS)}'][kind + 1] || ':' || a || ':' || b AS s FROM spans)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, kind), '') AS spans

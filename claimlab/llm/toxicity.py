@@ -1,35 +1,41 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-The vocabulary is the words most associated with the label (chi-square over distinct
-texts of the training rows); document frequencies come from all documents.  Examples are
-sorted by their heaviest terms and cut into blocks; an inverted index keeps each term's
-postings and its largest weight in every block.  A query bounds every block by the sum
-of its terms' block maxima, visits blocks from the highest bound down and stops when a
-bound falls below the k-th best cosine: the neighbours are exact.
+Every word of every example is a term.  Its weight is tf x idf x how strongly the word
+goes with the label: tf is 1 + ln(count), idf ln((1 + N) / (1 + df)) with the frequencies
+of all documents, and the last the likelihood-ratio statistic G of the word and the label
+over the examples' distinct texts.  (With tf x idf alone the neighbours share a text's
+subject, not its tone; the README has figures.)
+
+Examples are sorted by their heaviest terms and cut into blocks; an inverted index keeps
+each term's postings and its largest weight in every block.  A query adds up the postings
+of its heaviest terms; what the others can add at most is bounded block by block, and
+only examples that may reach the k-th best are worked out in full.  The neighbours are
+exact.  Votes weighted by nearness give the score; the neighbours are the evidence.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, session
+from .common import discard, held_out, materialise, session
 from .labelled import training_rows
 
-#: Bounds: labelled documents to learn from, and terms.
-TRAINING_ROWS, TERMS = 20_000, 2_048
-#: A term is associated with the label at this chi-square, in this many distinct texts.
-CHI_SQUARE, LEAST_TEXTS = 20.0, 5
-NEIGHBOURS, BLOCK = 15, 8_192
-#: A term that more than one example in so many has is added as a row, not by postings.
-FREQUENT = 8
+#: Bound: labelled documents to learn from.
+TRAINING_ROWS = 20_000
+NEIGHBOURS, BLOCK = 15, 64
 PRIOR_WEIGHT = 0.5
+#: The terms that are left to the bounds add at most so much of cosine.
+SLACK = 0.05
+#: Cosines are compared to so many decimals, ties go to the smaller id.
+DECIMALS = 9
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
@@ -38,161 +44,201 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).split()
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, ascending, and how often each occurs."""
+    got = Counter(words_of(text))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, got), np.uint64, len(got))
+    order = np.argsort(h)
+    return h[order], np.fromiter(got.values(), np.int64, len(got))[order]
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after the other, and the ranges' lengths."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 @dataclass
 class Index:
     """Block-max inverted index over the examples' unit vectors."""
 
-    terms: dict[bytes, int]
-    idf: np.ndarray
-    ids: np.ndarray  # of the examples that have a term, in index order
+    words: np.ndarray  # hashes, ascending: the terms
+    strength: np.ndarray  # idf x G by term
+    ids: np.ndarray  # of the examples, in index order
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]  # by term: examples ascending, weights
-    cuts: list[list[int]]  # by term: where each block's postings begin, and the end
-    maxima: np.ndarray  # terms x blocks
-    prior: float  # share of label 1 among all examples
-    prior_none: float  # ... among those without a term
-    full: dict[int, np.ndarray] = field(default_factory=dict)  # by frequent term: weights of all examples
-    known: dict = field(default_factory=dict)
-
-    def vector(self, text: str) -> tuple[tuple[int, int], ...]:
-        """(term, count) of the terms a text has."""
-        got = Counter(self.terms[w] for w in words_of(text) if w in self.terms)
-        return tuple(sorted(got.items()))
-
-    def weights(self, vector: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in vector], np.int64)
-        w = (1 + np.log([n for _, n in vector])) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
-
-    def nearest(self, vector: tuple[tuple[int, int], ...], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+    rows: np.ndarray  # examples: where each one's terms begin, and the end
+    row_terms: np.ndarray
+    row_weights: np.ndarray
+    posts: np.ndarray  # terms: where each one's postings begin, and the end
+    post_rows: np.ndarray
+    post_weights: np.ndarray
+    tops: np.ndarray  # terms: where each one's blocks begin, and the end
+    top_blocks: np.ndarray
+    top_weights: np.ndarray  # the largest weight in the block
+    peaks: np.ndarray  # ... in any block
+    prior: float  # share of label 1 among the examples
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights of the unit vector) of a text; words that no example
+        has weigh nothing, as do words that do not go with the label."""
+        h, n = counted(text)
+        at = np.searchsorted(self.words, h)
+        known = np.flatnonzero(at < len(self.words))
+        known = known[self.words[at[known]] == h[known]]
+        return self.weigh(at[known], n[known])
+
+    def weigh(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.strength[terms]
+        terms, w = terms[w > 0], w[w > 0]
+        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def add(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines as far as these terms go, by example."""
+        at, n = spread(self.posts[terms], self.posts[terms + 1])
+        return np.bincount(self.post_rows[at], self.post_weights[at] * np.repeat(weights, n), len(self.ids))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a positive cosine, ties by id."""
-        terms, weights = self.weights(vector)
-        bounds = weights @ self.maxima[terms]
-        best: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-9:
-                break
-            lo = block * BLOCK
-            got = np.zeros(min(BLOCK, len(self.ids) - lo))
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if t in self.full:
-                    got += w * self.full[t][lo : lo + BLOCK]
-                    continue
-                a, b = self.cuts[t][block], self.cuts[t][block + 1]
-                if a < b:
-                    where, values = self.postings[t]
-                    got[where[a:b] - lo] += w * values[a:b]
-            # Cosines are compared to 12 decimals; only those near the k-th best are rounded.
-            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
-            if len(got) > k:
-                least = max(least, np.partition(got, -k)[-k] - 1e-9)
-            hits = np.flatnonzero((got >= least) & (got > 0))
-            got[hits] = np.round(got[hits], 12)
-            hits = hits[got[hits] > 0]
-            if len(hits) > k:  # the best k of the block, ties by id
-                hits = hits[got[hits] >= np.partition(got[hits], -k)[-k]]
-                hits = hits[np.lexsort((self.ids[lo + hits], -got[hits]))[:k]]
-            if len(hits):
-                best = sorted(best + [(-c, i, at) for c, i, at in zip(got[hits].tolist(), self.ids[lo + hits].tolist(), (lo + hits).tolist(), strict=True)])[:k]
-        return [(-c, i) for c, _, i in best]
+        if not len(terms) or not len(self.ids):
+            return []
+        most = weights * self.peaks[terms]
+        order = np.argsort(-most, kind="stable")
+        terms, weights, most = terms[order], weights[order], most[order]
+        head = 1 + int(np.argmax(most.sum() - np.cumsum(most) <= SLACK))
+        got = self.add(terms[:head], weights[:head])
+        best = np.partition(got, -k)[-k] if len(got) > k else 0.0
+        if head < len(terms):
+            at, n = spread(self.tops[terms[head:]], self.tops[terms[head:] + 1])
+            room = np.bincount(self.top_blocks[at], self.top_weights[at] * np.repeat(weights[head:], n), -(-len(self.ids) // BLOCK))
+            hits = np.flatnonzero(got + np.repeat(room, BLOCK)[: len(got)] >= max(best - 1e-7, 1e-12))
+            if len(hits) * 16 < len(got):
+                dense = np.zeros(len(self.words))
+                dense[terms] = weights
+                at, n = spread(self.rows[hits], self.rows[hits + 1])
+                cosines = np.bincount(np.repeat(np.arange(len(hits)), n), self.row_weights[at] * dense[self.row_terms[at]], len(hits))
+            else:
+                cosines = got[hits] + self.add(terms[head:], weights[head:])[hits]
+        else:
+            hits = np.flatnonzero(got >= max(best - 1e-7, 1e-12))
+            cosines = got[hits]
+        cosines = np.round(cosines, DECIMALS)
+        hits, cosines = hits[cosines > 0], cosines[cosines > 0]
+        first = np.lexsort((self.ids[hits], -cosines))[:k]
+        return list(zip(cosines[first].tolist(), hits[first].tolist(), strict=True))
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         """Votes weighted by nearness (the reciprocal of the cosine distance, softened),
         with the prior as one more voter; and the neighbours as evidence."""
-        vector = self.vector(text)
-        if not vector or not len(self.ids):
-            return self.prior_none, []
-        if vector not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            near = self.nearest(vector)
-            votes = [1 / (1.1 - min(c, 1.0)) for c, _ in near]
-            given = sum(v * self.labels[i] for v, (_, i) in zip(votes, near, strict=True))
-            self.known[vector] = (given + PRIOR_WEIGHT * self.prior) / (sum(votes) + PRIOR_WEIGHT), near
-        return self.known[vector]
-
-
-def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, tuple[tuple[int, int], ...]]]) -> Index:
-    """``examples``: (id, label, vector)."""
-    rate = lambda rows: (sum(y for _, y, _ in rows) + 0.5) / (len(rows) + 1)
-    none = [e for e in examples if not e[2]]
-    index = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], np.zeros((len(terms), 0)), rate(examples), rate(none))
-    weighed = [(i, y, *index.weights(v)) for i, y, v in examples if v]
-    weighed.sort(key=lambda e: (tuple(e[2][np.argsort(-e[3], kind="stable")]), e[0]))
-    index.ids = np.array([e[0] for e in weighed], np.int64)
-    index.labels = np.array([e[1] for e in weighed], np.int64)
-    index.maxima = np.zeros((len(terms), -(-len(weighed) // BLOCK)))
-    lists: list[tuple[list, list]] = [([], []) for _ in terms]
-    for at, (_, _, ts, ws) in enumerate(weighed):
-        for t, w in zip(ts, ws, strict=True):
-            lists[t][0].append(at)
-            lists[t][1].append(w)
-            index.maxima[t, at // BLOCK] = max(index.maxima[t, at // BLOCK], w)
-    index.postings = [(np.array(a, np.int64), np.array(w)) for a, w in lists]
-    for t, (a, w) in enumerate(index.postings):
-        if len(a) * FREQUENT > len(weighed):
-            index.full[t] = np.zeros(len(weighed))
-            index.full[t][a] = w
-    borders = np.arange(index.maxima.shape[1] + 1) * BLOCK
-    index.cuts = [np.searchsorted(a, borders).tolist() for a, _ in index.postings]
-    return index
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, n_terms: int = TERMS) -> Index:
-    """Vocabulary and examples from at most ``most`` labelled rows, document frequencies
-    from all documents."""
-    session(docs)
-    train = materialise(training_rows(docs, labels, "toxic", most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label"), "toxic-train")
+        near = self.nearest(*self.vector(text))
+        votes = [1 / (1.1 - min(c, 1.0)) for c, _ in near]
+        given = sum(v * int(self.labels[i]) for v, (_, i) in zip(votes, near, strict=True))
+        return (given + PRIOR_WEIGHT * self.prior) / (sum(votes) + PRIOR_WEIGHT), near
+
+
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G of a word and the label: ``a`` of the ``n1`` texts with label 1 have the word,
+    ``b`` of the ``n0`` others."""
+    n, out = max(1, n1 + n0), np.zeros(len(a))
+    for seen, expected in ((a, (a + b) * n1 / n), (b, (a + b) * n0 / n), (n1 - a, (n - a - b) * n1 / n), (n0 - b, (n - a - b) * n0 / n)):
+        some = seen > 0
+        out[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
+    return np.where(out > 1e-9, out, 0.0)
+
+
+def build_index(words: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, copies: np.ndarray, rows: np.ndarray, terms: np.ndarray, n: np.ndarray) -> Index:
+    """``rows``, ``terms`` and ``n`` hold the examples' terms and counts one after the
+    other; ``copies`` is equal for equal texts, which count as one for G."""
+    _, once = np.unique(np.column_stack([copies, labels]), axis=0, return_index=True)
+    first = np.zeros(len(ids), bool)
+    first[once] = True
+    label = np.repeat(labels, np.diff(rows))
+    mine = np.repeat(first, np.diff(rows))
+    a, b = (np.bincount(terms[mine & (label == y)], minlength=len(words)).astype(float) for y in (1, 0))
+    strength = idf * likelihood_ratio(a, b, int((labels[first] == 1).sum()), int((labels[first] == 0).sum()))
+    w = (1 + np.log(n)) * strength[terms]
+    row = np.repeat(np.arange(len(ids)), np.diff(rows))
+    length = np.sqrt(np.bincount(row, w * w, len(ids)))
+    w = (w / np.where(length[row] > 0, length[row], 1)).astype(np.float32)
+    row, terms, w = row[w > 0], terms[w > 0], w[w > 0]
+    # Examples with the same heaviest term stand together.
+    order = np.lexsort((-w, row))
+    heaviest = np.full(len(ids), len(words))
+    heads = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
+    heaviest[row[heads]] = terms[heads]
+    by = np.lexsort((ids, heaviest))
+    place = np.empty(len(ids), np.int64)
+    place[by] = np.arange(len(ids))
+    row = place[row]
+    forward, inverted = np.lexsort((terms, row)), np.lexsort((row, terms))
+    ends = lambda x, size: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=size))])
+    t, r, v = terms[inverted], row[inverted], w[inverted]
+    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (r[1:] // BLOCK != r[:-1] // BLOCK)]) if len(t) else np.zeros(0, np.int64)
+    top = np.maximum.reduceat(v, new) if len(new) else v
+    peaks = np.zeros(len(words))
+    np.maximum.at(peaks, t[new], top)
+    return Index(words, strength, ids[by], labels[by], ends(row, len(ids)), terms[forward].astype(np.int32), w[forward], ends(t, len(words)), r.astype(np.int32), v,
+                 ends(t[new], len(words)), (r[new] // BLOCK).astype(np.int32), top, peaks, (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Index:
+    """Examples and terms from at most ``most`` labelled rows, document frequencies from
+    all documents.  The numbers of the examples' words come to the driver."""
+    spark = session(docs)
+    train = training_rows(docs, labels, "toxic", most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = sorted(set(words_of(text)))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([label] * len(words), pa.int32())], ["word", "label"])
-
-    # Copies count once: a text and label is one observation.
-    distinct = train.groupBy("text").agg(F.max("label").alias("label"))
-    n, n1 = distinct.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    a, b = F.col("with1").cast("double"), F.col("texts") - F.col("with1")
-    c, d = n1 - a, (n - n1) - b
-    chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d))
-    counted = distinct.mapInArrow(spread, "word binary, label int").groupBy("word").agg(F.sum("label").alias("with1"), F.count("*").alias("texts"))
-    usable = counted.where((F.col("texts") >= LEAST_TEXTS) & (F.col("texts") < n)) if 0 < n1 < n else counted.where(F.lit(False))
-    chosen = usable.withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "word").limit(n_terms).collect()
-    terms = {bytes(r["word"]): k for k, r in enumerate(chosen)}
+            texts = batch.column(1).to_pylist()
+            got = [counted(t) for t in texts]
+            copies = np.array([xxhash.xxh64_intdigest(t.encode()) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(copies), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())],
+                                             ["doc_id", "label", "copy", "words", "n"])
+
+    read = materialise(train.mapInArrow(vectors, "doc_id long, label int, copy long, words binary, n binary"), "toxic-examples")
+    rows = read.toArrow().sort_by("doc_id")
+    discard(read)
+    hashes = [np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()]
+    n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in rows["n"].to_pylist())]).astype(np.int64)
+    words, terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
+    # Its size is bounded by the examples' words.
+    shared = spark.sparkContext.broadcast(words)
 
     def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per batch: texts, and texts that have each term."""
+        """Per task: texts, and texts that have each term."""
+        words, texts = shared.value, 0
+        found = np.zeros(len(words), np.int64)
         for batch in batches:
-            found = Counter()
+            texts += len(batch)
             for text in batch.column(0).to_pylist():
-                found.update(terms[w] for w in terms.keys() & set(words_of(text)))
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([len(batch), *found.values()], pa.int64())], ["term", "n"])
+                h, _ = counted(text)
+                at = np.searchsorted(words, h)
+                at = at[at < len(words)]  # hashes ascend: those beyond are the last
+                found[at[words[at] == h[: len(at)]]] += 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[texts, found[some]])], ["term", "n"])
 
     all_texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    df = dict(all_texts.mapInArrow(having, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(len(terms))])
-    bare = Index(terms, idf, np.zeros(0), np.zeros(0), [], [], np.zeros((0, 0)), 0.0, 0.0)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [bare.vector(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[x for pair in v for x in pair] for v in got], pa.list_(pa.int32()))], ["doc_id", "label", "vector"])
-
-    rows = train.mapInArrow(vectors, "doc_id long, label int, vector array<int>").collect()
-    examples = sorted((r[0], r[1], tuple(zip(r[2][::2], r[2][1::2], strict=True))) for r in rows)
-    return build_index(terms, idf, examples)
+    df = materialise(all_texts.mapInArrow(having, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")), "toxic-frequencies")
+    told = df.toArrow()
+    discard(df)
+    shared.destroy()
+    term, have = told["term"].to_numpy(), told["n"].to_numpy()
+    frequency = np.zeros(len(words))
+    frequency[term[term >= 0]] = have[term >= 0]
+    idf = np.log((1 + have[term < 0].sum()) / (1 + frequency))
+    return build_index(words, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(np.int64), rows["copy"].to_numpy(), np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64), terms, n)
 
 
 def toxicity_scores(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
     """One row per row: doc_id, held_out, score, predicted, evidence array<struct<doc_id,
     cosine, label>>.
 
-    Texts without a known term - empty and null ones too - score the rate of the examples
-    without one.  Repeated rows stay repeated; an empty table gives an empty result.
+    Texts that share no weighty word with an example - empty and null ones too - score
+    the rate of label 1.  Repeated rows stay repeated; an empty table gives an empty
+    result; without examples every score is 0.
     """
     session(docs)
-    # Its size is bounded by the number of training rows and terms.
+    # Its size is bounded by the examples' words.
     shared = docs.sparkSession.sparkContext.broadcast(index)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 

@@ -275,19 +275,28 @@ BASE = {
 }
 
 
+RUNS = {"entropy_hex": r"[0-9a-fA-F]{20,}", "entropy_base64": r"[A-Za-z0-9+/_=-]{20,}"}
+
+
 def entropy_spans(text, window=20):
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        run = m.group()
-        if any(re.search(p, run) for p in secrets.ALLOW):
-            continue
-        kind = "entropy_hex" if re.fullmatch(r"[0-9a-fA-F]+", run) else "entropy_base64"
-        hot = []
-        for i in range(len(run) - window + 1):
-            counts = Counter(run[i : i + window]).values()
-            if round(np.log2(window) - sum(n * np.log2(n) for n in counts) / window, 9) >= secrets.THRESHOLDS[kind]:
-                hot.append(i)
-        if hot:
-            yield m.start() + hot[0], kind, m.start() + hot[-1] + window
+    for kind, pattern in RUNS.items():
+        for m in re.finditer(pattern, text):
+            if kind == "entropy_base64" and re.fullmatch(r"[0-9a-fA-F]+", m.group()):
+                continue
+            begin, pieces = m.start(), []
+            for x in re.finditer("|".join(f"(?:{p})" for p in secrets.ALLOW), m.group()):
+                pieces.append((begin, text[begin : m.start() + x.start()]))
+                begin = m.start() + x.end()
+            pieces.append((begin, text[begin : m.end()]))
+            for at, piece in pieces:
+                hot = []
+                for i in range(len(piece) - window + 1):
+                    counts = Counter(piece[i : i + window])
+                    bits = round(np.log2(window) - sum(n * np.log2(n) for n in counts.values()) / window, 9)
+                    if bits >= secrets.THRESHOLDS[kind] and 0 < sum(counts[d] for d in "0123456789") < window:
+                        hot.append(i)
+                if hot:
+                    yield at + hot[0], kind, at + hot[-1] + window
 
 
 def test_secrets(spark):
@@ -295,7 +304,8 @@ def test_secrets(spark):
     key = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
     hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     pieces = ["password: token: abcdefghij", "Api_Key='" + key(12, b64) + "'", "secret=token=abcdefgh", "passwd = short", "AKIA" + key(12, b64[:26]), "AKIAAKIA1", "AKIA" + key(30, b64[:26]),
-              key(31, hexa), key(32, hexa), key(80, hexa), "x" + key(40, hexa), key(40, b64), "a" * 50 + key(40, b64) + "b" * 30, "0123456789abcdef" * 3, "é日本", "😀", "TOKEN:\"" + key(20, b64), "long_snake_case_words_here_too", "550e8400-e29b-41d4-a716-446655440000", "\n"]
+              key(31, hexa), key(32, hexa), key(80, hexa), "x" + key(40, hexa), key(40, b64), "a" * 50 + key(40, b64) + "b" * 30, "0123456789abcdef" * 3, "é日本", "😀", "TOKEN:\"" + key(20, b64), "long_snake_case_words_here_too", "550e8400-e29b-41d4-a716-446655440000", "\n",
+              key(30, b64[:62]) + "example" + key(30, b64[:62]), "x550e8400-e29b-41d4-a716-446655440000" + key(25, hexa), key(12, b64[:62]) + "EXAMPLE" + key(12, b64[:62]), key(24, "0123456789"), "zz/" + key(40, hexa.upper())]
     rows = [(k, None if k == 0 else " ".join(rng.sample(pieces, rng.randint(0, 9))), "x") for k in range(120)]
     got = by_id(secrets.secret_digests(spark.createDataFrame(rows, "doc_id long, text string, spans string")))
     assert len(got) == 120 and any("entropy_base64" in r["spans"] for r in got.values())
@@ -313,6 +323,16 @@ def test_secrets(spark):
     assert secrets.secret_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Time grows with the length: a run of a million characters, and 60,000 matches."""
+    rng = random.Random(8)
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000)) + "Zq8Xr2Lw9Tb4Vn6Yc1Kd" + "a" * 50
+    many = "AKIAABCDEFGHIJKL " * 60_000
+    got = by_id(secrets.find_secrets(spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")))
+    assert [(s["kind"], s["match"]) for s in got[1]["spans"] if "Zq8Xr2Lw9Tb4Vn6Yc1Kd" in s["match"]]
+    assert [(s["start"], s["kind"]) for s in got[2]["spans"]] == [(17 * k, 1) for k in range(60_000)]
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(6)
     items = [(k, sentence(rng, rng.randint(20, 40))) for k in range(12)] + [(50, "too short"), (51, None), (52, "same same same same same same same same")]
@@ -406,29 +426,95 @@ def test_quality_gradient():
 
 
 def test_rare_toxic_words_are_terms(spark):
-    """The minimum of texts does not grow with the sample."""
+    """Every word of an example is a term, however rare."""
     free = [k for k in range(3_000) if zlib.crc32(str(k).encode()) % 5][:2_400]
     rows = [(k, f"vermin name{k}" if at < 5 else f"idiot name{k}" if at < 400 else f"calm name{k}") for at, k in enumerate(free)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = toxicity.fit(docs, spark.createDataFrame([(k, int(at < 400)) for at, k in enumerate(free)], "doc_id long, toxic int"))
-    assert b"vermin" in index.terms
+    assert len(index.words) == 3 + 2_400
     score, near = index.score("You vermin")
     assert score > 0.5 and len(near) == 5
 
 
-def test_block_max_index_is_exact():
+def brute_toxicity(texts_of_docs, examples, queries, k=15):
+    """Scores and neighbours from the definition, with dictionaries."""
+    count = lambda t: Counter(re.findall(r"[a-z0-9]+", (t or "").lower()))
+    df = Counter(w for t in texts_of_docs for w in count(t))
+    distinct = {(t or "", y) for _, t, y in examples}
+    sides = {y: [set(count(t)) for t, z in distinct if z == y] for y in (0, 1)}
+
+    def strength(w):
+        a, b = (sum(w in s for s in sides[y]) for y in (1, 0))
+        n1, n0 = len(sides[1]), len(sides[0])
+        table = [(a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n1 + n0 - a - b), (n0 - b, n0, n1 + n0 - a - b)]
+        g = sum(2 * x * np.log(x * (n1 + n0) / (row * col)) for x, col, row in table if x)
+        return np.log((1 + len(texts_of_docs)) / (1 + df[w])) * (g if g > 1e-9 else 0)
+
+    known = {w: strength(w) for _, t, _ in examples for w in count(t)}
+
+    def unit(t):
+        v = {w: (1 + np.log(n)) * known[w] for w, n in count(t).items() if known.get(w, 0) > 0}
+        z = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / z for w, x in v.items()}
+
+    vectors = [(i, y, unit(t)) for i, t, y in examples]
+    prior = (sum(y for _, _, y in examples) + 0.5) / (len(examples) + 1)
+    for q in queries:
+        v = unit(q)
+        near = sorted(((-sum(x * u.get(w, 0) for w, x in v.items()), i, y) for i, y, u in vectors))
+        near = [(-c, i, y) for c, i, y in near if c < -1e-9][:k]
+        votes = [1 / (1.1 - min(c, 1)) for c, _, _ in near]
+        yield (sum(x * y for x, (_, _, y) in zip(votes, near, strict=True)) + 0.5 * prior) / (sum(votes) + 0.5), [c for c, _, _ in near]
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(700):
+        words = sentence(rng, rng.randint(0, 60)).split() + [f"rare{rng.randint(0, 300)}" for _ in range(rng.randint(0, 5))]
+        if k % 6 == 0:
+            words += rng.choices(["idiot", "scum", "moron", "vermin"], k=rng.randint(1, 3))
+        rows.append((k, " ".join(words)))
+    rows += [(900 + k, t) for k, t in enumerate([None, "", rows[3][1], rows[3][1], "unknown words only", "Idiot! idiot? SCUM", "alpha"])]
+    labels = [(k, int(k % 6 == 0)) for k in range(0, 700, 2)] + [(902, 0), (903, 1)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, label string")
+    index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    text = dict(rows)
+    examples = [(i, text[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    got = by_id(toxicity.toxicity_scores(docs, index))
+    for (i, _), (score, cosines) in zip(rows, brute_toxicity(list(text.values()), examples, [t for _, t in rows]), strict=True):
+        assert [e["cosine"] for e in got[i]["evidence"]] == pytest.approx(cosines, abs=1e-5), i
+        # Single weights and ties at the last place may move a vote.
+        assert got[i]["score"] == pytest.approx(score, abs=1e-4) or cosines[-1:] == pytest.approx(cosines[-2:-1], abs=1e-5), i
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.05, 0.5, 2.0])
+def test_block_max_bounds_lose_nobody(monkeypatch, slack):
+    monkeypatch.setattr(toxicity, "SLACK", slack)
     rng = np.random.default_rng(3)
-    terms = {f"t{k}".encode(): k for k in range(30)}
-    examples = [(int(i), int(rng.integers(0, 2)), tuple(sorted((int(t), int(rng.integers(1, 4))) for t in rng.choice(30, rng.integers(0, 6), replace=False)))) for i in range(700)]
-    index = toxicity.build_index(terms, rng.uniform(0.5, 3, 30), examples)
-    dense = np.zeros((len(index.ids), 30))
-    for t, (where, values) in enumerate(index.postings):
-        dense[where, t] = values
-    for _, _, vector in examples[:200]:
-        if not vector:
-            continue
-        ts, ws = index.weights(vector)
-        cosine = np.round(dense[:, ts] @ ws, 12)
+    n, v = 3_000, 400
+    rows = [np.sort(rng.choice(v, rng.integers(0, 12), replace=False)) for _ in range(n)]
+    counts = [rng.integers(1, 4, len(r)) for r in rows]
+    index = toxicity.build_index(np.arange(v, dtype=np.uint64), rng.uniform(0.5, 3, v), rng.permutation(n), rng.integers(0, 2, n), np.arange(n),
+                                 np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows), np.concatenate(counts))
+    dense = np.zeros((n, v))
+    for k in range(n):
+        dense[k, index.row_terms[index.rows[k] : index.rows[k + 1]]] = index.row_weights[index.rows[k] : index.rows[k + 1]]
+    for r, c in zip(rows[:300], counts[:300], strict=True):
+        ts, ws = index.weigh(r, c)
+        cosine = np.round(dense[:, ts] @ ws, toxicity.DECIMALS)
         order = np.lexsort((index.ids, -cosine))[: toxicity.NEIGHBOURS]
-        want = [(cosine[i], int(index.ids[i])) for i in order if cosine[i] > 0]
-        assert [(pytest.approx(c), int(index.ids[i])) for c, i in index.nearest(vector)] == want
+        assert [(pytest.approx(cosine[i], abs=2e-9), int(index.ids[i])) for i in order if cosine[i] > 0] == [(x, int(index.ids[i])) for x, i in index.nearest(ts, ws)]
+
+
+def test_toxicity_is_calibrated(spark):
+    """Held-out scores by bin agree with the share of label 1."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    index = toxicity.fit(docs, labels)
+    held = toxicity.toxicity_scores(docs, index).where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    score, truth = (np.array([r[k] for r in held], float) for k in range(2))
+    bins = np.minimum((score * 5).astype(int), 4)
+    off = sum((bins == b).mean() * abs(score[bins == b].mean() - truth[bins == b].mean()) for b in set(bins.tolist()))
+    assert len(held) > 50 and off < 0.1
+    assert ((score >= 0.5) == truth).mean() > 0.9
