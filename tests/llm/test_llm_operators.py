@@ -192,6 +192,32 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(1, 60)}, 101: 100}
 
 
+def brute_tree(text):
+    """The fingerprint from its definition, and the leaves' texts."""
+    import xxhash
+
+    h = lambda level, parts: xxhash.xxh3_128(level.encode() + b"".join(parts)).digest()
+    sections, rest, leaves = [], [], []
+    for line in text.split("\n"):
+        pieces = re.findall(r"[^.!?]{1,64}[.!?]{0,8}|[.!?]{1,8}", line)
+        assert "".join(pieces) == line
+        leaves += pieces
+        rest.append((h("paragraph", [h("leaf", [x.encode()]) for x in pieces]), pieces))
+        if int.from_bytes(rest[-1][0][:1], "big") % 8 == 0:
+            sections, rest = [*sections, rest], []
+    sections += [rest] if rest else []
+    tops = [h("section", [d for d, _ in s]) for s in sections]
+    leaf = lambda x: h("leaf", [x.encode()]).hex()[:8] + np.base_repr(len(x), 36).lower()
+    body = ";".join(t.hex()[:8] + "=" + "/".join(d.hex()[:8] + ":" + ",".join(map(leaf, xs)) for d, xs in s) for t, s in zip(tops, sections, strict=True))
+    return f"{h('root', tops).hex()}!{body}", Counter(leaves)
+
+
+def brute_likeness(a, b):
+    one, two = brute_tree(a)[1], brute_tree(b)[1]
+    size = lambda c: sum(len(x) * n for x, n in c.items())
+    return 1.0 if a == b else size(one & two) / max(size(one), size(two)) if size(one) or size(two) else 0.0
+
+
 def test_merkle(docs, empty, spark):
     got = by_id(merkle.edit_fingerprints(docs))
     all_texts = [t or "" for t in texts()]
@@ -200,22 +226,53 @@ def test_merkle(docs, empty, spark):
         changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
         row = got[k]
         assert row["n_chars"] == len(t) and row["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert row["fingerprint"] == merkle.fingerprint(t)[0] and row["edited_fingerprint"] == merkle.fingerprint(changed)[0]
-        assert row["near_next"] == (1.0 if t == following else pytest.approx(merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(following))))
-        assert 0 <= row["near_edited"] <= 1
+        assert row["fingerprint"] == brute_tree(t)[0] and row["edited_fingerprint"] == brute_tree(changed)[0]
+        assert row["near_next"] == pytest.approx(brute_likeness(t, following)) and row["near_edited"] == pytest.approx(brute_likeness(t, changed))
     assert merkle.edit_fingerprints(empty).count() == 0
     alone = merkle.edit_fingerprints(docs.where("doc_id = 3")).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
     twice = merkle.edit_fingerprints(docs.where("doc_id = 3").union(docs.where("doc_id = 3"))).collect()
     assert [r["near_next"] for r in twice] == [1.0, 1.0]
+    missing = [(None, "one"), (None, "two"), (None, None), (4, "four"), (4, "again four")]
+    rows = merkle.edit_fingerprints(spark.createDataFrame(missing, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in rows) == sorted((-(2**63) if i is None else i, len(t or "")) for i, t in missing)
+
+
+def test_merkle_ranges_follow_the_ids(spark):
+    """Many ranges, ids on both sides of zero, gaps: each row is followed by the next id."""
+    rng = random.Random(11)
+    ids = sorted(rng.sample(range(-10_000, 10_000), 900))
+    frame = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string").repartition(7)
+    keyed = frame.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("mark"))
+    dealt = merkle.with_following(keyed, 300).collect()
+    by_bucket = {}
+    for r in dealt:
+        by_bucket.setdefault(r["bucket"], []).append((r["guest"], r["id"]))
+    nxt = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    seen = {}
+    for rows in by_bucket.values():
+        rows.sort()
+        seen |= {a[1]: b[1] for a, b in zip(rows, rows[1:], strict=False)}
+        assert [g for g, _ in rows].count(True) == 1
+    assert seen == nxt and len(by_bucket) > 200
 
 
 def test_merkle_branches_locate_an_edit():
-    text = "\n".join(f"line {k} says so. And more." for k in range(60))
-    a, b = merkle.fingerprint(text), merkle.fingerprint(text.replace("line 31 says", "line 31 said"))
-    assert merkle.leaves_of(a[0]) == a[1]
-    assert len(merkle.differing(a[0], b[0])) == 1 and not merkle.differing(a[0], a[0])
-    assert merkle.likeness(a, b) > 0.9 and merkle.likeness(a, a) == 1.0
+    lines = [f"line {k} says so. And more." for k in range(60)]
+    mark = lambda x: merkle.fingerprint("\n".join(x))
+    a = mark(lines)
+    assert merkle.shown(merkle.parsed(a)) == a and not merkle.differing(a, a)
+    place = [(i, k) for i, (_, ps) in enumerate(merkle.parsed(a)[1]) for k in range(len(ps))]
+    changed = [*lines[:31], "line 31 said so.", *lines[32:]]
+    assert merkle.differing(a, mark(changed)) == [place[31]]
+    assert merkle.differing(a, mark(lines[:31] + lines[32:])) == [place[31]]
+    assert merkle.differing(a, mark([*lines[:32], "new", *lines[32:]])) == [place[31]]
+    moved = [*lines[:10], lines[20], *lines[10:20], *lines[21:]]
+    assert set(merkle.differing(a, mark(moved))) == set(place[10:21])
+    assert merkle.differing(a, mark([*lines, lines[5]])) == [place[59]]
+    assert merkle.likeness(merkle.tree("\n".join(lines)), merkle.tree("\n".join(changed))) > 0.9
+    # Leaves that agree in the digits that are shown still change the root.
+    assert len({merkle.tree(t)[0] for t in ("", "\n", "a", "a\n", "\na", "a\na", "a.a", "a. a")}) == 8
 
 
 @pytest.mark.parametrize("weights", [(5, 2, 1), (1,)])
