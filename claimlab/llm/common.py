@@ -73,14 +73,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete materialised frames that nothing reads any more.  Spark drops the shuffle
-    files of plans that the driver's JVM has collected, so it is asked to collect."""
+    """Delete materialised frames that nothing reads any more."""
     for frame in frames:
         hadoop, files = _file_system(frame.sparkSession, frame._scratch_path)
         files.delete(hadoop, True)
-    if frames:
-        gc.collect()
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def drop_shuffle_files(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of plans that the driver's JVM has collected: ask it
+    to collect, where jobs that shuffle whole texts are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused(frame: DataFrame, *names: str) -> list[str]:

@@ -2,15 +2,17 @@
 
 A window of a document, as many words long as a benchmark item, is contaminated if its
 word shingles are at least ``similarity`` alike to the item's (shared counts over the
-larger counts).  Such a window shares shingles with the item, so only windows that begin
-at a shared shingle are fingerprinted: moving a window right to the next shared shingle
-loses none of the shared ones, so the best window is among them.
-
-Windows and items get 64-bit SimHash fingerprints over their counted shingles.  Bits are
-summed sixteen at a time in lanes of a long.  Fingerprints are cut into eight blocks;
-items are indexed under every block value within two bits of their own, so all pairs up
-to 23 bits apart meet - eight blocks that each differ in three bits are 24 apart.  The
-pairs that meet are held against the exact similarity.
+larger counts).  Such a window shares shingles with the item, so windows that do not
+begin at a shingle of some item of that size need no fingerprint: moving a window right
+to the next such shingle loses none of the shared ones, so the best window is among
+those that do.  All of these are fingerprinted, whatever item their shingle is of.
+
+Windows and items get 64-bit SimHash fingerprints over their counted shingles.
+Fingerprints are cut into six blocks; items are indexed under every block value within
+two bits of their own, so all pairs up to 17 bits apart meet - six blocks that each
+differ in three bits are 18 apart.  A chance pair meets with a probability of a fifth.
+The pairs within the radius are held against the exact similarity.  (Hashes of windows
+0.8 alike differ in 10 bits on average; the README has the measured recall.)
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, unused
 
 WIDTH, SIMILARITY = 5, 0.8
-BLOCKS, BLOCK_ERRORS = 8, 2
+BLOCKS, BLOCK_ERRORS = 6, 2
 RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
-#: Rows of longs that may be broadcast: a few MB.
-SMALL_TABLE_ROWS = 200_000
+EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+#: Seeds - a long and an int, 16 bytes a row with a row's head - that are broadcast: 8 MB.
+SMALL_TABLE_ROWS = 500_000
+#: Bits are summed three at a time, in lanes of so many bits of a long.
+LANE = 21
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,32 +43,28 @@ def shingles_of(frame: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     return words.select(*keys, F.size("words").alias("n_words"), hashes.alias("hashes"))
 
 
-def counted(hashes: Column) -> Column:
-    """Each hash with its occurrence number mixed in: a multiset as a set."""
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
-
-
-def simhashes(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, fp: a bit is set if more than half of the shingles' hashes have it."""
-    mask = 0x0001000100010001
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(mask))).alias(f"lane{k}") for k in range(16)]
-    sums = windows.select(*keys, F.explode("hashes").alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), *lanes)
-    fp = F.lit(0).cast("long")
-    for k in range(16):
-        for q in range(4):
-            ones = F.shiftrightunsigned(f"lane{k}", 16 * q).bitwiseAND(F.lit(0xFFFF))
-            fp = fp.bitwiseOR(F.when(ones * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k + 16 * q)).otherwise(F.lit(0).cast("long")))
+def simhashes(windows: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """keys, fp: a bit is set if more than half of the shingles' hashes have it.
+    ``longest``: shingles of the longest window; beyond a lane's range they are summed
+    in parts first."""
+    mask = 1 | 1 << LANE | 1 << 2 * LANE
+    most = 2**LANE - 1
+    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(mask))).alias(f"lane{k}") for k in range(LANE)]
+    hashes = windows.select(*keys, F.posexplode("hashes").alias("pos", "h")).withColumn("part", F.floor(F.col("pos") / most) if longest > most else F.lit(0))
+    sums = hashes.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned("h", 63)).alias("lane63"), *lanes)
+    ones = {b: F.col("lane63") if b == 63 else F.shiftrightunsigned(f"lane{b % LANE}", b // LANE * LANE).bitwiseAND(F.lit(most)) for b in range(64)}
+    if longest > most:
+        sums = sums.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(x).alias(f"bit{b}") for b, x in ones.items()])
+        ones = {b: F.col(f"bit{b}") for b in ones}
+    bit = lambda b: F.when(ones[b] * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    fp = bit(0)
+    for b in range(1, 64):
+        fp = fp.bitwiseOR(bit(b))
     return sums.select(*keys, fp.alias("fp"))
 
 
 def block(fp: Column, k: int) -> Column:
-    width = 64 // BLOCKS
-    return F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit(2**width - 1)).cast("int")
-
-
-def checked(frame: DataFrame) -> DataFrame:
-    """Broadcast if it is counted to be small; else Spark joins by shuffle."""
-    return F.broadcast(frame) if frame.count() <= SMALL_TABLE_ROWS else frame
+    return F.shiftrightunsigned(fp, EDGES[k]).bitwiseAND(F.lit(2 ** (EDGES[k + 1] - EDGES[k]) - 1)).cast("int")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
@@ -73,47 +74,58 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
     Null and short texts: fewer than five words have no shingle, so such documents are
     clean and such items match nothing.  A document shorter than an item is one window.
-    Rows that share an id are searched alike and give one row.  Empty tables give an
-    empty result.  Other columns are ignored.
+    Rows that share an id are searched alike and give one row; rows without an id give
+    none.  Items that share an id are searched alike and give one row.  Empty tables
+    give an empty result.  Other columns are ignored.
     """
-    bench = materialise(shingles_of(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "text", ["item_id"]).where("size(hashes) > 0"), "items")
+    told = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    bench = materialise(shingles_of(told, "text", ["item_id"]).where("size(hashes) > 0").withColumn("item_content", F.xxhash64("hashes")), "items")
+    longest = bench.agg(F.max("n_words")).first()[0] or 0
     seeds = materialise(bench.select(F.explode("hashes").alias("h"), F.col("n_words").alias("size")).distinct(), "seeds")
+    mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     # The outer form: for the inner one Spark infers a filter on the array's size and
     # works the shingles out a second time in it.
-    found = (shingles_of(docs, text_col, [id_col]).select(F.col(id_col).alias("doc_id"), F.posexplode_outer("hashes").alias("pos", "h"))
-             .join(checked(seeds), "h").select("doc_id", "pos", "size"))
-    places = materialise(found.groupBy("doc_id").agg(F.collect_set(F.struct("size", "pos")).alias("places")), "places")
+    found = (shingles_of(mine, "text", ["doc_id"]).select("doc_id", "n_words", F.posexplode_outer("hashes").alias("pos", "h"))
+             .join(F.broadcast(seeds) if seeds.count() <= SMALL_TABLE_ROWS else seeds, "h"))
+    begin = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_words") - F.col("size")))
+    starts = materialise(found.select("doc_id", "size", begin.alias("start")).distinct(), "starts")
     # Only documents with a shared shingle are read again.
-    again = docs.join(checked(places.select(F.col("doc_id").alias("__id"))), F.col(id_col) == F.col("__id"), "left_semi")
-    marked = shingles_of(again, text_col, [id_col]).withColumnRenamed(id_col, "doc_id").join(places, "doc_id")
-    begin = lambda p: F.greatest(F.lit(0), F.least(p["pos"], F.col("n_words") - p["size"]))
-    starts = F.array_distinct(F.transform("places", lambda p: F.struct(p["size"].alias("size"), begin(p).alias("start"))))
-    windows = (marked.select("doc_id", "hashes", F.explode_outer(starts).alias("w"))
-               .select("doc_id", F.col("w.size").alias("size"), F.col("w.start").alias("start"), F.slice("hashes", F.col("w.start") + 1, F.col("w.size") - (WIDTH - 1)).alias("hashes")))
+    again = mine.join(starts.select("doc_id").distinct(), "doc_id", "left_semi")
+    windows = (shingles_of(again, "text", ["doc_id"]).join(starts, "doc_id")
+               .select("doc_id", "size", "start", F.slice("hashes", F.col("start") + 1, F.col("size") - (WIDTH - 1)).alias("hashes")).where("size(hashes) > 0"))
     # Equal windows - copies, or one passage in many documents - are compared once.
     keyed = materialise(windows.withColumn("content", F.xxhash64("hashes")), "windows")
-    distinct = keyed.groupBy("size", "content").agg(F.min("hashes").alias("hashes"))
-    distinct = materialise(distinct, "distinct")
-    marks = simhashes(distinct, ["size", "content"])
-    item_marks = simhashes(bench, ["item_id", "n_words"]).withColumnRenamed("fp", "item_fp")
-    flips = F.array(*[F.lit(sum(1 << b for b in bits)) for e in range(BLOCK_ERRORS + 1) for bits in combinations(range(64 // BLOCKS), e)])
-    index = materialise(item_marks.select("item_id", "item_fp", F.col("n_words").alias("size"), F.posexplode(F.array(*[block(F.col("item_fp"), k) for k in range(BLOCKS)])).alias("block", "own"))
-                        .select("item_id", "item_fp", "size", "block", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("value")), "index")
-    probes = marks.select("size", "content", "fp", F.posexplode(F.array(*[block(F.col("fp"), k) for k in range(BLOCKS)])).alias("block", "value"))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = (probes.join(checked(index), ["size", "block", "value"]).withColumn("differing_bits", distance).where(F.col("differing_bits") <= RADIUS)
-             .select("size", "content", "item_id", "differing_bits").distinct())
-    texts = distinct.join(pairs, ["size", "content"]).join(checked(bench.select("item_id", F.col("hashes").alias("item_hashes"))), "item_id")
-    shared = F.size(F.array_intersect(counted(F.col("hashes")), counted(F.col("item_hashes"))))
-    scored = texts.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("hashes") + F.size("item_hashes") - F.col("shared")))
-    scored = scored.where(F.col("similarity") >= similarity).select("size", "content", "item_id", "similarity", "differing_bits")
+    distinct = materialise(keyed.groupBy("size", "content").agg(F.first("hashes").alias("hashes")), "distinct")
+    marks = simhashes(distinct, ["size", "content"], longest)
+    item_marks = simhashes(bench.dropDuplicates(["n_words", "item_content"]), ["n_words", "item_content"], longest).withColumnRenamed("fp", "item_fp")
+    blocks = lambda fp: F.array(*[F.struct(F.lit(k).alias("block"), block(F.col(fp), k).alias("value")) for k in range(BLOCKS)])
+    flips = F.array(*[F.array(*[F.lit(sum(1 << b for b in bits)) for e in range(BLOCK_ERRORS + 1) for bits in combinations(range(EDGES[k + 1] - EDGES[k]), e)]) for k in range(BLOCKS)])
+    index = (item_marks.select("item_content", "item_fp", F.col("n_words").alias("size"), F.explode(blocks("item_fp")).alias("b"))
+             .select("item_content", "item_fp", "size", "b.block", F.explode(F.transform(F.get(flips, F.col("b.block")), lambda x: F.col("b.value").bitwiseXOR(x))).alias("value")))
+    index = materialise(index, "index")
+    probes = marks.select("size", "content", "fp", F.explode(blocks("fp")).alias("b")).select("size", "content", "fp", "b.block", "b.value")
+    pairs = (probes.join(index, ["size", "block", "value"]).withColumn("differing_bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("differing_bits") <= RADIUS)
+             .select("size", "content", "item_content", "differing_bits").distinct())
+    pairs = materialise(pairs, "pairs")
+    # Exact similarity: shared counts over the larger counts, shingle by shingle.
+    theirs = bench.dropDuplicates(["n_words", "item_content"]).select(F.col("n_words").alias("size"), "item_content", F.explode("hashes").alias("h")).groupBy("size", "item_content", "h").agg(F.count("*").alias("its"))
+    own = distinct.join(pairs.select("size", "content").distinct(), ["size", "content"], "left_semi").select("size", "content", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    own = own.groupBy("size", "content", "n", "h").agg(F.count("*").alias("own"))
+    shared = own.join(pairs, ["size", "content"]).join(theirs, ["size", "item_content", "h"]).groupBy("size", "content", "item_content", "n", "differing_bits").agg(F.sum(F.least("own", "its")).alias("shared"))
+    whole = F.col("size") - (WIDTH - 1)
+    scored = shared.withColumn("similarity", F.col("shared") / (F.col("n") + whole - F.col("shared"))).where(F.col("similarity") >= similarity)
+    scored = materialise(scored.select("size", "content", "item_content", "similarity", "differing_bits"), "scored")
     best = F.struct(-F.col("similarity"), F.col("start"), F.col("similarity").alias("similarity"), F.col("start").alias("start_word"), "differing_bits")
-    return (keyed.select("doc_id", "size", "content", "start").join(scored, ["size", "content"]).groupBy("doc_id", "item_id").agg(F.min(best).alias("b"))
-            .select("doc_id", "item_id", "b.similarity", "b.start_word", "b.differing_bits"))
+    names = bench.select("item_id", F.col("n_words").alias("size"), "item_content")
+    found = materialise(keyed.select("doc_id", "size", "content", "start").join(scored, ["size", "content"]).join(names, ["size", "item_content"])
+                        .groupBy("doc_id", "item_id").agg(F.min(best).alias("b")).select("doc_id", "item_id", "b.similarity", "b.start_word", "b.differing_bits"), "contaminated")
+    discard(bench, seeds, starts, keyed, distinct, index, pairs, scored)
+    return found
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a window alike to an item; rows without an id have
     no match by id and stay."""
-    dirty = materialise(contaminated(docs, items, **options).select(F.col("doc_id").alias("__id")).distinct(), "dirty")
-    return docs.join(checked(dirty), F.col("doc_id") == F.col("__id"), "left_anti")
+    name, = unused(docs, "dirty")
+    dirty = materialise(contaminated(docs, items, **options).select(F.col("doc_id").alias(name)).distinct(), "dirty")
+    return docs.join(dirty, F.col(options.get("id_col", "doc_id")) == F.col(name), "left_anti")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, parallelism, session
+from .common import discard, drop_shuffle_files, materialise, parallelism, session
 from .components import components
 from .simhash_dedup import SEED, links, simhash_of
 
@@ -66,6 +66,21 @@ def prefix(hashes: np.ndarray, crowded: np.ndarray, percent: int = PERCENT) -> n
     return np.concatenate([hashes[~last], hashes[last]])[: n - -(-percent * n // 100) + 1]
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each value of the hashes' last bits, whether an odd number of the set's
+    hashes have it: bits, twice to four times as many as hashes."""
+    size = max(64, 1 << (2 * len(hashes)).bit_length())
+    return np.packbits(np.bincount(hashes.view(np.uint64) & np.uint64(size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little")
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Hashes that are in one of two sets only, at least: their parities differ at a
+    place only if some are there.  The longer bits are folded to the shorter's length."""
+    few, many = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    many = np.bitwise_xor.reduce(many.reshape(-1, len(few)))
+    return int(np.bitwise_count(few ^ many).sum())
+
+
 def alike(s: np.ndarray, t: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether the sets are so alike; empty ones are."""
     both = len(s) + len(t) - len(np.union1d(s, t))
@@ -73,7 +88,7 @@ def alike(s: np.ndarray, t: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row per distinct text: digest, id (the smallest), n, fp, prefix, text."""
+    """One row per distinct text: digest, id (the smallest), n, fp, prefix, odd, text."""
     text = F.coalesce("text", F.lit(""))
     told = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     distinct = told.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text"))
@@ -81,19 +96,21 @@ def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, fps, firsts = [], [], [none]
+            sizes, fps, firsts, odd = [], [], [none], []
             for x in batch.column(2).to_pylist():
                 h = shingle_hashes(x, width)
                 s = np.unique(h).view(np.int64)
                 sizes.append(len(s))
                 fps.append(simhash_of(h))
                 firsts.append(prefix(s, none, percent) if len(s) else none)
+                odd.append(parities(s).tobytes())
             ends = np.cumsum([0, *map(len, firsts[1:])])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.binary()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts))), batch.column(2)], ["digest", "id", "n", "fp", "prefix", "text"])
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts))), pa.array(odd, pa.binary()), batch.column(2)],
+                ["digest", "id", "n", "fp", "prefix", "odd", "text"])
 
-    return materialise(distinct.mapInArrow(mark, "digest binary, id long, n long, fp long, prefix array<long>, text string"), "texts")
+    return materialise(distinct.mapInArrow(mark, "digest binary, id long, n long, fp long, prefix array<long>, odd binary, text string"), "texts")
 
 
 def _prefixes(texts: DataFrame, crowded: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -117,8 +134,20 @@ def _prefixes(texts: DataFrame, crowded: np.ndarray, width: int, percent: int) -
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """(a, b): the pairs (x, y) of ids whose exact similarity suffices."""
+    """(a, b): the pairs (x, y) of ids whose exact similarity suffices.  Few pairs have
+    their texts compared: the others' parities show that too many shingles differ."""
     pairs = materialise(pairs, f"{name}-pairs")
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")).hint("merge")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, one, two = (c.to_pylist() for c in batch.columns[2:])
+            keep = [least_apart(a, b) * (100 + percent) <= (i + j) * (100 - percent) for i, j, a, b in zip(n, m, one, two, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    weighed = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "n_x", "n_y", "odd_x", "odd_y")
+    every, pairs = pairs, materialise(weighed.mapInArrow(near, "x long, y long").distinct(), f"{name}-near")
+    discard(every)
     ids = materialise(pairs.select(F.inline(F.array(F.struct(F.col("x").alias("i")), F.struct(F.col("y").alias("i"))))).distinct(), f"{name}-ids")
     few = F.broadcast(ids) if ids.count() <= SMALL_TABLE_ROWS else ids
     mine = texts.join(few, texts["id"] == F.col("i"), "left_semi").select("id", "text")
@@ -181,8 +210,9 @@ def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if no copy has an id).  Repeated rows stay repeated, an empty table gives an empty
     result, other columns are ignored.
     """
-    session(docs)
+    spark = session(docs)
     texts = _texts(docs, width, percent)
+    drop_shuffle_files(spark)
     known = texts.where("id is not null")
 
     # Texts without a shingle have fingerprint zero: the round meets them there.
@@ -196,6 +226,7 @@ def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     shared = materialise(_prefixes(known, np.sort(np.array([r[0] for r in crowd], np.int64)), width, percent)
                          .withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size"), "shared")
 
+    drop_shuffle_files(spark)
     rooted = _rooted(shared, components(first))
     hub = rooted.withColumn("hub", F.min(F.struct("id", "n", "root")).over(bucket)).where("hub.root != root")
     in_size = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
@@ -204,6 +235,7 @@ def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     rooted = _rooted(shared, components(first.union(second)))
     third = _verified(_pairs_apart(rooted, percent), known, width, percent, "third-links")
     roots = components(first.union(second).union(third))
+    drop_shuffle_files(spark)
     classes = materialise(_rooted(texts.select("digest", "id"), roots).select("digest", F.col("root").alias("component_id")), "classes")
     discard(texts, marks, shared, first, second, third)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))

@@ -298,6 +298,52 @@ def test_mixing(spark, docs, empty, weights):
     assert len(rows) == len(sizes) and all(abs(taken[s] - want[s]) < 1.01 for s in names)
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7), weights=weights).collect()), key=str)
     assert mixing.mix(empty).count() == 0
+    assert {r["doc_id"]: r["taken"] for r in rows} == brute_mix(spark, sizes, source, total, want)
+
+
+def brute_mix(spark, sizes, source, total, want):
+    """Serve one word at a time: always the source whose next word ends first."""
+    places = {r["doc_id"]: r["place"] for r in spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string").select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("place")).collect()}
+    queues = {s: [k for _ in range(2) for k in sorted((k for k in sizes if source[k] == s), key=lambda k: (places[k] % 2**64, k)) for _ in range(sizes[k])] for s in total}
+    taken, at = dict.fromkeys(sizes, 0), dict.fromkeys(total, 0)
+    for _ in range(sum(int(want[s] + 1e-6) for s in total)):
+        s = min((s for s in total if at[s] < len(queues[s])), key=lambda s: (at[s] + 1) / want[s])
+        taken[queues[s][at[s]]] += 1
+        at[s] += 1
+    return taken
+
+
+def test_mix_ends_at_the_budget(docs):
+    """The mix is a prefix of the order by virtual finish time."""
+    _, mixed = mixing.servings(docs)
+    rows = sorted(mixed.collect(), key=lambda r: r["before"])
+    assert all(a["before"] + a["words"] == b["before"] and a["finish"] <= b["finish"] for a, b in zip(rows, rows[1:], strict=False))
+    assert [r["taken"] > 0 for r in rows] == sorted((r["taken"] > 0 for r in rows), reverse=True)
+    assert 0 < sum(r["taken"] for r in rows) < sum(r["words"] for r in rows)
+
+
+def test_many_sources(spark):
+    """Ranks and targets of thousands of sources."""
+    rows = [(k, "word " * (k % 7 + 1), None if k == 5 else f"host{k % 1500:05d}") for k in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    got = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    total = Counter()
+    for k, t, s in rows:
+        total[s] += len(t.split())
+    names = sorted(s for s in total if s) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    level, full = 0.0, set()
+    while True:
+        level = (1.5 * sum(total.values()) - sum(2 * total[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        now = {s for s in names if 2 * total[s] <= weight[s] * level}
+        if now == full:
+            break
+        full = now
+    assert all(r["target"] == pytest.approx(min(2 * total[r["source"]], weight[r["source"]] * level)) for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - min(2 * total[s], weight[s] * level)) < 1.01 for s in names)
 
 
 def test_mixed_documents_are_whole(docs):

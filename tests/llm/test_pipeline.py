@@ -59,3 +59,19 @@ def test_dedup_stage_leaves_no_pair_alike(spark):
     for crowded in (0, 3):
         got = corpus_pipeline.alike_documents(spark.createDataFrame(rows, "doc_id long, text string"), crowded_over=crowded)
         assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    from claimlab.llm import shingle_dedup
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        pool = rng.integers(-(2**62), 2**62, 400)
+        a, b = (np.unique(pool[rng.random(400) < rng.random()]) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        assert shingle_dedup.least_apart(shingle_dedup.parities(a).tobytes(), shingle_dedup.parities(b).tobytes()) <= apart
+        assert shingle_dedup.least_apart(shingle_dedup.parities(a).tobytes(), shingle_dedup.parities(a[::-1]).tobytes()) == 0
+        both = len(np.intersect1d(a, b))
+        assert shingle_dedup.alike(a, b) == (both * 5 >= 4 * len(np.union1d(a, b)))
