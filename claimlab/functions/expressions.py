@@ -148,16 +148,59 @@ def bisect(f, lo: float, hi: float, steps: int = 60) -> Column:
     return F.when((f(F.lit(lo)) <= 0) & (f(F.lit(hi)) >= 0), found)
 
 
-def implied_vol(price: Column, s: Column, k: Column, t: Column, r: float, call: bool = True) -> Column:
-    """Volatility in [1e-4, 5] that gives the price; NULL if there is none."""
-    intrinsic = F.greatest((s - k) if call else (k - s), F.lit(0.0))
-    return F.when((t > 0) & (price > 0) & (price >= intrinsic - 1e-6), bisect(lambda v: bs_price(s, k, t, r, v, call) - price, 1e-4, 5.0))
+def implied_vol(price: Column, s: Column, k: Column, t: Column, r: float, call: bool = True, steps: int = 32) -> Column:
+    """Volatility in [1e-4, 5] that gives the price; NULL if there is none.
+
+    Newton's method from the volatility at which the price bends, inside a bracket that
+    each step narrows; a step that would leave the bracket, or a price without slope,
+    halves it.  Price and slope come from one evaluation, bound once a step.
+    """
+    side = 1.0 if call else -1.0
+    intrinsic = F.greatest(side * (s - k), F.lit(0.0))
+    pv, forward, root = k * F.exp(-r * t), F.log(s / k) + r * t, F.sqrt(t)
+    fixed = F.struct(s.alias("s"), pv.alias("pv"), forward.alias("m"), root.alias("root"), price.alias("price"), F.least(F.greatest(F.sqrt(2 * F.abs(forward) / t), F.lit(0.01)), F.lit(4.0)).alias("v"))
+
+    def solve(f: Column) -> Column:
+        def step(a: Column, _: Column) -> Column:
+            width = a["v"] * f["root"]
+            d1 = F.struct((f["m"] / width + width / 2).alias("d"), width.alias("w"))
+
+            def move(d: Column) -> Column:
+                value = F.struct((side * f["s"] * norm_cdf(side * d["d"]) - side * f["pv"] * norm_cdf(side * (d["d"] - d["w"])) - f["price"]).alias("off"), (f["s"] * f["root"] * norm_pdf(d["d"])).alias("slope"))
+
+                def narrowed(x: Column) -> Column:
+                    low = x["off"] < 0
+                    ends = F.struct(F.when(low, a["v"]).otherwise(a["lo"]).alias("lo"), F.when(low, a["hi"]).otherwise(a["v"]).alias("hi"), (a["v"] - x["off"] / F.greatest(x["slope"], F.lit(1e-300))).alias("next"))
+                    return F.element_at(F.transform(F.array(ends), lambda e: F.struct(
+                        e["lo"].alias("lo"), e["hi"].alias("hi"), F.when((e["next"] > e["lo"]) & (e["next"] < e["hi"]), e["next"]).otherwise((e["lo"] + e["hi"]) / 2).alias("v"))), 1)
+
+                return F.element_at(F.transform(F.array(value), narrowed), 1)
+
+            return F.element_at(F.transform(F.array(d1), move), 1)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(1e-4).alias("lo"), F.lit(5.0).alias("hi"), f["v"].alias("v")), step, lambda a: a["v"])
+
+    bracketed = (bs_price(s, k, t, r, F.lit(1e-4), call) <= price) & (bs_price(s, k, t, r, F.lit(5.0), call) >= price)
+    return F.when((t > 0) & (price > 0) & (price >= intrinsic - 1e-6) & bracketed, F.element_at(F.transform(F.array(fixed), solve), 1))
+
+
+def norm_ppf(p: Column, steps: int = 5) -> Column:
+    """Inverse of the normal distribution function, by Halley steps from a power-law
+    guess on the upper half; NULL outside (0, 1)."""
+    upper = F.greatest(p, 1 - p)
+
+    def step(z: Column, _: Column) -> Column:
+        off = (norm_cdf(z) - upper) / norm_pdf(z)
+        return F.element_at(F.transform(F.array(off), lambda u: z - u / (1 + z * u / 2)), 1)
+
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), 5.5556 * (1 - F.pow((1 - upper) / upper, F.lit(0.1186))), step)
+    return F.when((p > 0) & (p < 1), F.when(p < 0.5, -z).otherwise(z))
 
 
 def strike_from_delta(delta: Column, s: Column, t: Column, r: float, sigma: Column) -> Column:
-    """Strike in [s / 20, 5 s] at which a call has the delta."""
-    moneyness = bisect(lambda m: delta - (norm_cdf((F.log(1 / m) + (r + 0.5 * sigma * sigma) * t) / (sigma * F.sqrt(t)))), 0.05, 5.0)
-    return moneyness * s
+    """Strike at which a call has the delta; NULL outside [s / 20, 5 s]."""
+    strike = s * F.exp((r + 0.5 * sigma * sigma) * t - norm_ppf(delta) * sigma * F.sqrt(t))
+    return F.when(strike.between(s / 20, s * 5), strike)
 
 
 def pnl_attribution(s0: Column, s1: Column, iv0: Column, iv1: Column, k: Column, t0: Column, dt: Column, r: float, call: bool = True) -> Column:

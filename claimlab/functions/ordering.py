@@ -13,12 +13,34 @@ def _bucket(value: Column, bounds: list, base: int = 0) -> Column:
     return F.when(value < F.lit(bounds[mid]), _bucket(value, bounds[:mid], base)).otherwise(_bucket(value, bounds[mid + 1 :], base + mid + 1))
 
 
-def with_position(df: DataFrame, time_col: str, *ties: str, name: str = "pos", buckets: int = 64) -> DataFrame:
+def ranges(df: DataFrame) -> int:
+    """Ranges to cut an order into: as many as tasks, which bounds their table too."""
+    return max(64, min(4_096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _cut(df: DataFrame, value: Column, name: str, n: int) -> DataFrame:
+    cuts = df.select(value.cast("double").alias("v")).where("v is not null").approxQuantile("v", [k / n for k in range(1, n)], 0.2 / n)
+    return df.withColumn(name, _bucket(value.cast("double"), sorted(set(cuts))))
+
+
+def running_sum(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows with a smaller ``order``, a number without
+    ties: sums inside ranges of it after those of the ranges before."""
+    rows = _cut(df, F.col(order), "__range", ranges(df))
+    sums = rows.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inside = F.sum(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return rows.withColumn(name, inside).join(F.broadcast(bases), "__range").withColumn(name, F.col(name) + F.col("__base")).drop("__range", "__base")
+
+
+def with_position(df: DataFrame, time_col: str, *ties: str, name: str = "pos", buckets: int | None = None) -> DataFrame:
     """Number the rows from 0 by (time, ties) without bringing them into one task.
 
     The stream is cut into ranges of time, rows are numbered inside their range and the
     ranges' counts are summed up before them.  Equal times share a range.
     """
+    buckets = buckets or ranges(df)
     stamp = F.unix_micros(F.col(time_col).cast("timestamp"))
     cuts = df.select(stamp.alias("t")).approxQuantile("t", [k / buckets for k in range(1, buckets)], 0.2 / buckets)
     rows = df.withColumn("__bucket", _bucket(stamp, sorted({int(c) for c in cuts})))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,9 @@ def digest_starts(spark: SparkSession, n: int, n_boot: int, block: int, seed: in
 
 def numpy_starts(spark: SparkSession, n: int, n_boot: int, block: int, seed: int) -> DataFrame:
     """The same table in the order in which numpy's generator draws it."""
-    rng, blocks = np.random.default_rng(seed), math.ceil(n / block)
-    table = [(b, j, int(s)) for b in range(n_boot) for j, s in enumerate(rng.integers(0, n - block + 1, size=blocks))]
+    blocks = math.ceil(n / block)
+    drawn = np.random.default_rng(seed).integers(0, n - block + 1, size=(n_boot, blocks))
+    table = pd.DataFrame({"b": np.repeat(np.arange(n_boot), blocks), "j": np.tile(np.arange(blocks), n_boot), "start": drawn.ravel()})
     return spark.createDataFrame(table, "b long, j long, start long")
 
 

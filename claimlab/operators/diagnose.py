@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimlab.functions.expressions import avg_rank
 from claimlab.functions.ordering import with_position
-from claimlab.operators.evaluate import safe_corr
+from claimlab.operators.evaluate import auc, safe_corr
 from claimlab.session import ship
 
 
@@ -25,7 +25,7 @@ def expression_vs_underlying(trades: DataFrame, budget: float, *by: str) -> Data
         F.avg(F.when(up, (F.col("pnl") > 0).cast("double"))).alias("win_when_up"))
 
 
-# The verdicts on a claim's two blocks.
+# The outcomes of a claim's two blocks.
 SURVIVED = "survived out of sample"
 CAUGHT = "false positive caught by the sealed holdout"
 NOT_REPLICATED = "did not replicate out of sample"
@@ -34,11 +34,11 @@ NO_CLAIM = "no claim in either block"
 
 
 def false_positive(claims: DataFrame, t: float = 2.0) -> DataFrame:
-    """Verdict on claims that have alpha and t in validation and in the sealed holdout."""
+    """Outcome of claims that have alpha and t in validation and in the sealed holdout."""
     in_valid, in_hold = F.col("valid_t") > t, F.col("hold_t") > t
     flip = F.signum("valid_alpha") != F.signum("hold_alpha")
-    verdict = F.when(in_valid & in_hold, SURVIVED).when(in_valid & flip, CAUGHT).when(in_valid, NOT_REPLICATED).when(in_hold, UNCLAIMED).otherwise(NO_CLAIM)
-    return claims.select("*", flip.alias("sign_flip"), (F.col("hold_alpha") - F.col("valid_alpha")).alias("alpha_decay"), verdict.alias("verdict"))
+    outcome = F.when(in_valid & in_hold, SURVIVED).when(in_valid & flip, CAUGHT).when(in_valid, NOT_REPLICATED).when(in_hold, UNCLAIMED).otherwise(NO_CLAIM)
+    return claims.select("*", flip.alias("sign_flip"), (F.col("hold_alpha") - F.col("valid_alpha")).alias("alpha_decay"), outcome.alias("outcome"))
 
 
 def attribution_split(rows: DataFrame, metric: str, driver: str, time_col: str, split_at: Column, least: int = 8, method: str = "spearman") -> DataFrame:
@@ -53,10 +53,12 @@ def attribution_split(rows: DataFrame, metric: str, driver: str, time_col: str,
     return parts.groupBy("part").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, safe_corr("__x", "__y")).alias("corr"))
 
 
-def rolling_windows(stream: DataFrame, window: int = 150, least_class: int = 5, time_col: str = "ts", tie: str = "event_id", score: str = "score", label: str = "label", chunk: int = 2_000) -> DataFrame:
+def rolling_windows(stream: DataFrame, window: int = 150, least_class: int = 5, time_col: str = "ts", tie: str = "event_id", score: str = "score", label: str = "label", chunk: int = 2_000, n_boot: int = 0, block: int = 10, seed: int = 0) -> DataFrame:
     """AUC and calibration error of every window of ``window`` rows, by the window's last
-    row: pos, ts, tie, auc, calib_err.
+    row: pos, ts, tie, auc, calib_err, auc_lo, auc_hi.
 
+    The last two are the moving-block bootstrap's 90 % interval over ``n_boot`` draws,
+    without draws NULL.
     Rows are numbered without a global window and dealt into chunks of positions; a chunk
     also gets the ``window - 1`` rows before it, so windows need no further exchange and
     no row is repeated per window.
@@ -83,10 +85,69 @@ def rolling_windows(stream: DataFrame, window: int = 150, least_class: int = 5,
                 continue
             p, q = np.sort(a[b == 1]), np.sort(a[b == 0])
             wins = np.searchsorted(q, p, "left").sum() + np.searchsorted(q, p, "right").sum()
-            out.append((batch["pos"].iat[k], batch["ts"].iat[k], batch["tie"].iat[k], wins / (2 * len(p) * len(q)), abs(a.mean() - b.mean())))
-        return pd.DataFrame(out, columns=["pos", "ts", "tie", "auc", "calib_err"])
+            lo, hi = block_interval(a, b, n_boot, block, seed)
+            out.append((batch["pos"].iat[k], batch["ts"].iat[k], batch["tie"].iat[k], wins / (2 * len(p) * len(q)), abs(a.mean() - b.mean()), lo, hi))
+        return pd.DataFrame(out, columns=["pos", "ts", "tie", "auc", "calib_err", "auc_lo", "auc_hi"])
 
-    return dealt.groupBy("chunk").applyInPandas(run, "pos long, ts timestamp, tie long, auc double, calib_err double")
+    return dealt.groupBy("chunk").applyInPandas(run, "pos long, ts timestamp, tie long, auc double, calib_err double, auc_lo double, auc_hi double")
+
+
+def rank_auc(s: np.ndarray, y: np.ndarray) -> float | None:
+    """AUC of one sample, ties half; None with one class only."""
+    p, q = s[y == 1], np.sort(s[y == 0])
+    if not len(p) or not len(q):
+        return None
+    return float(np.searchsorted(q, p, "left").sum() + np.searchsorted(q, p, "right").sum()) / (2 * len(p) * len(q))
+
+
+def block_interval(s: np.ndarray, y: np.ndarray, n_boot: int, block: int, seed: int) -> tuple[float | None, float | None]:
+    """The 5th and 95th percentile of the AUC over draws of moving blocks."""
+    n = len(s)
+    if not n_boot or n < 2 * block:
+        return None, None
+    starts = np.random.default_rng(seed).integers(0, n - block + 1, size=(n_boot, -(-n // block)))
+    places = (starts[:, :, None] + np.arange(block)).reshape(n_boot, -1)[:, :n]
+    found = [v for at in places if (v := rank_auc(s[at], y[at])) is not None]
+    return tuple(np.percentile(found, [5, 95]).tolist()) if found else (None, None)
+
+
+def drift_alarms(windows: DataFrame, k: float = 1.5, h: float = 5.0, baseline_n: int = 60) -> DataFrame:
+    """The windows with ``baseline`` and whether one ``alarms``: a one-sided CUSUM of the
+    AUC below the mean of the first ``baseline_n`` windows, slack and limit in their
+    deviations, re-armed once a window is back within the slack.
+
+    A CUSUM with re-arming is sequential: one task reads (pos, auc) in order, holding a
+    batch of rows at a time, whatever the stream's length.
+    """
+    ship(windows.sparkSession)
+    first = windows.orderBy("pos").limit(baseline_n).agg(F.avg("auc").alias("baseline"), F.coalesce(F.stddev_pop("auc"), F.lit(0.0)).alias("sd"))
+    first = first.withColumn("sd", F.when(F.col("sd") > 1e-6, F.col("sd")).otherwise(0.02))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, on = 0.0, False
+        for batch in batches:
+            hits = []
+            for auc, baseline, sd in zip(batch["auc"], batch["baseline"], batch["sd"], strict=True):
+                total = max(0.0, total + baseline - auc - k * sd)
+                hit = not on and total > h * sd
+                if hit or on and auc >= baseline - k * sd:
+                    total, on = 0.0, hit
+                hits.append(hit)
+            yield pd.DataFrame({"pos": batch["pos"], "baseline": batch["baseline"], "alarms": hits})
+
+    lean = windows.select("pos", "auc").crossJoin(F.broadcast(first))  # one row
+    walked = lean.repartition(1).sortWithinPartitions("pos").mapInPandas(run, "pos long, baseline double, alarms boolean")
+    return windows.join(walked, "pos")
+
+
+def drift_monitor(stream: DataFrame, window: int = 150, least_class: int = 5, baseline_n: int = 60, k: float = 1.5, h: float = 5.0, n_boot: int = 0, time_col: str = "ts", tie: str = "event_id", score: str = "score", label: str = "label") -> DataFrame:
+    """Window AUC to baseline to alarm: one row with n_obs, n_windows, overall_auc,
+    baseline_auc, worst_auc, worst_at, n_alarms, first_alarm."""
+    windows = drift_alarms(rolling_windows(stream, window, least_class, time_col, tie, score, label, n_boot=n_boot), k, h, baseline_n)
+    seen = windows.agg(F.count("*").alias("n_windows"), F.max("baseline").alias("baseline_auc"), F.min("auc").alias("worst_auc"), F.min_by("tie", F.struct(F.round("auc", 9), "pos")).alias("worst_at"),
+                       F.count_if("alarms").alias("n_alarms"), F.min_by(F.when(F.col("alarms"), F.col("tie")), F.when(F.col("alarms"), F.col("pos"))).alias("first_alarm"))
+    overall = auc(stream.where(F.col(time_col).isNotNull()), label, score).select((F.col("n_pos") + F.col("n_neg")).alias("n_obs"), F.col("auc").alias("overall_auc"))
+    return overall.crossJoin(F.broadcast(seen))  # one row each
 
 
 def lead_days(alarms: DataFrame, event: str, time_col: str = "date") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlab.functions.expressions import avg_rank, finite, ratio
+from claimlab.functions.ordering import running_sum
 
 
 def sharpe(series: DataFrame, value: str = "ret", per_year: int = 12, *by: str) -> DataFrame:
@@ -31,11 +32,14 @@ def oos_r2(frame: DataFrame, actual: str, forecast: str, benchmark: str | None =
 
 def auc(scored: DataFrame, label: str, score: str, *by: str) -> DataFrame:
     """Area under the ROC curve: ties count half.  One aggregation by distinct score, then
-    a running sum of negatives over the distinct scores."""
+    a running sum of negatives over the distinct scores, in ranges of the score."""
     rows = scored.select(*by, F.col(label).alias("y"), finite(F.col(score).cast("double")).alias("s")).where("s is not null and y is not null")
     per = rows.groupBy(*by, "s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).groupBy(*by).agg(
+    if by:
+        per = per.withColumn("below", F.sum("q").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q"))
+    else:
+        per = running_sum(per, "q", "s", "below")
+    return per.groupBy(*by).agg(
         F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
         ratio(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 

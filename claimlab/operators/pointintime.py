@@ -13,9 +13,18 @@ from claimlab.session import ship
 
 def last_known(panel: DataFrame, asof: DataFrame, window: int, entity: str, disclosed: str, order: tuple[str, ...], value: str) -> DataFrame:
     """(as_of, entity, value): the last ``window`` known values at each as-of date - those
-    disclosed by then, never by fiscal period.  ``asof`` (as_of) is a short list of dates."""
+    disclosed by then, never by fiscal period.  ``asof`` (as_of) is a short list of dates.
+
+    Where the order begins with the disclosure, a value is known from then until
+    ``window`` later ones of its entity are: only those intervals meet the dates.
+    """
     if asof.count() > 10_000:
         raise ValueError("too many as-of dates")
+    if order[0] == disclosed:
+        later = Window.partitionBy(entity).orderBy(*order)
+        panel = panel.where(F.col(value).isNotNull()).withColumn("__until", F.lead(disclosed, window).over(later))
+        within = (F.col(disclosed) <= F.col("as_of")) & (F.col("__until").isNull() | (F.col("as_of") < F.col("__until")))
+        return panel.join(F.broadcast(asof), within).drop("__until")
     known = panel.where(F.col(value).isNotNull()).join(F.broadcast(asof), F.col(disclosed) <= F.col("as_of"))
     latest = Window.partitionBy("as_of", entity).orderBy(*[F.desc(o) for o in order])
     return known.withColumn("__k", F.row_number().over(latest)).where(F.col("__k") <= window).drop("__k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +48,30 @@ def unsupported_numbers(stated: DataFrame, allowed: DataFrame, rel_tol: float =
     a fraction (which moves the stated decimals by two), equal to a result when rounded
     to those decimals or within the tolerances.
 
-    ``allowed`` holds the few results of one run.
+    Numbers meet results by keys - the rounded value at its decimals, ranges of the
+    logarithm as wide as the relative tolerance, ranges as wide as the absolute one - and
+    are compared exactly then.  ``rel_tol`` is below one.
     """
-    results = F.broadcast(allowed.select(F.col("value").alias("a")).distinct())
+    results = allowed.select(F.col("value").alias("a")).where("a is not null").distinct()
     v, d, a = F.col("value"), F.col("decimals"), F.col("a")
-    same = lambda x, places: F.coalesce(*[F.when(places == k, F.bround(a, k) == F.bround(x, k)) for k in range(12)], F.lit(False))
-    close = lambda x: F.abs(x - a) <= F.greatest(F.lit(abs_tol), rel_tol * F.abs(a))
-    readings = ((v, d), (v / 100.0, d + 2), (v * 100.0, F.greatest(d - 2, F.lit(0))))
-    supported = F.lit(False)
-    for x, places in readings:
-        supported = supported | same(x, places) | close(x)
-    return stated.join(results, supported, "left_anti")
+    step = math.log1p(rel_tol) - math.log1p(-rel_tol) if rel_tol else 1.0
+    key = lambda kind, p, x: F.struct(F.lit(kind).alias("kind"), p.cast("double").alias("place"), (x + F.lit(0.0)).alias("x"))
+    places_of = lambda x, places: F.coalesce(*[F.when(places == k, F.bround(x, k)) for k in range(12)])
+    log_of = lambda x: F.floor(F.log(F.abs(F.nullif(x, F.lit(0.0)))) / step).cast("double")
+    near_of = lambda x: F.floor(x / abs_tol).cast("double")
+    keys = lambda x, places: [key("rounded", places, places_of(x, places)), key("relative", F.signum(x), log_of(x)), *([key("absolute", F.lit(0), near_of(x))] if abs_tol else [])]
+    around = lambda kind, p, x: [key(kind, p, x + k) for k in (-1, 0, 1)]
+    theirs = [key("rounded", F.lit(k), F.bround(a, k)) for k in range(12)] + around("relative", F.signum(a), log_of(a)) + (around("absolute", F.lit(0), near_of(a)) if abs_tol else [])
+    index = results.select("a", F.explode(F.array(*theirs)).alias("k")).where("k.x is not null")
+    readings = F.array(*[F.struct(x.alias("x"), places.cast("int").alias("places")) for x, places in ((v, d), (v / 100.0, d + 2), (v * 100.0, F.greatest(d - 2, F.lit(0))))])
+    read = stated.select("value", "decimals").distinct().withColumn("r", F.explode(readings))
+    probes = read.select("value", "decimals", "r", F.explode(F.array(*keys(F.col("r.x"), F.col("r.places")))).alias("k")).where("k.x is not null")
+    met = probes.join(index, "k")
+    x, places = F.col("r.x"), F.col("r.places")
+    same = F.coalesce(places_of(a, places) == places_of(x, places), F.lit(False))
+    close = F.abs(x - a) <= F.greatest(F.lit(abs_tol), rel_tol * F.abs(a))
+    supported = met.where(same | close).select("value", "decimals").distinct()
+    return stated.join(supported, ["value", "decimals"], "left_anti").select(*stated.columns)
 
 
 def _covering(state: Column, item: int, name: str) -> Column:

@@ -1,4 +1,4 @@
-"""Whole questions: complexity sweeps, counterfactuals, kill criteria, fixed verdicts, tools."""
+"""Whole questions: complexity sweeps, counterfactuals, kill criteria, fixed rules, tools."""
 
 from __future__ import annotations
 
@@ -56,11 +56,11 @@ def counterfactual_sharpes(spark: SparkSession, weights: DataFrame, worlds: Data
     return per.agg(F.count("*").alias("draws"), F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("sd"), F.avg((F.col("sharpe") < 0).cast("double")).alias("share_negative"))
 
 
-# Thresholds of the mechanism verdict.
+# Thresholds of the mechanism's rule.
 LEAST_CORRELATION, LEAST_SPAN, MOST_ALPHA_T, LEAST_RETENTION, LEAST_NEGATIVE = 0.90, 0.85, 1.96, 0.75, 0.80
 
 
-def adjudicate(results: DataFrame) -> DataFrame:
+def adjudicate(results: DataFrame, states: tuple[str, str] = ("bounded-finding", "bounded-inconclusive")) -> DataFrame:
     """Adds the five checks and the outcome to rows of small_sharpe, large_sharpe,
     rejects, forecast_corr, span_r2, alpha_t, destroyed_sharpe, base_sharpe, share_negative."""
     c = F.col
@@ -70,7 +70,7 @@ def adjudicate(results: DataFrame) -> DataFrame:
         ((c("forecast_corr") >= LEAST_CORRELATION) & (c("span_r2") >= LEAST_SPAN) & (F.abs("alpha_t") < MOST_ALPHA_T)).alias("kernel_equivalent"),
         F.coalesce(retention >= LEAST_RETENTION, F.lit(False)).alias("survives_destruction"), (c("share_negative") >= LEAST_NEGATIVE).alias("reversal_negative"))
     killed = c("kernel_equivalent") & c("survives_destruction")
-    return out.withColumn("state", F.when(killed, "bounded-verdict-delivered").otherwise("bounded-inconclusive"))
+    return out.withColumn("state", F.when(killed, states[0]).otherwise(states[1]))
 
 
 def kill_criteria(facts: DataFrame) -> DataFrame:

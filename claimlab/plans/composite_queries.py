@@ -1,4 +1,4 @@
-"""Predictors, complexity studies and fixed verdicts."""
+"""Predictors, complexity studies and fixed rules."""
 
 from __future__ import annotations
 
@@ -50,7 +50,7 @@ def _facts(spark, sf):
 
 
 @query(f"""WITH {FACTS} SELECT id, a + b > 0.7 AS headline_reproduced, n > 50 AS forecast_test_passed, {r('CASE WHEN b > 0 THEN 2 * a / b END', 'retention')}, a + 0.5 >= 0.9 AND b + 0.6 >= 0.85 AND abs(a * 3) < 1.96 AS kernel_equivalent,
-coalesce(2 * a / CASE WHEN b > 0 THEN b END >= 0.75, false) AS survives_destruction, 2 * b >= 0.8 AS reversal_negative, CASE WHEN (a + 0.5 >= 0.9 AND b + 0.6 >= 0.85 AND abs(a * 3) < 1.96) AND coalesce(2 * a / CASE WHEN b > 0 THEN b END >= 0.75, false) THEN 'bounded-verdict-delivered' ELSE 'bounded-inconclusive' END AS state FROM f""")
+coalesce(2 * a / CASE WHEN b > 0 THEN b END >= 0.75, false) AS survives_destruction, 2 * b >= 0.8 AS reversal_negative, CASE WHEN (a + 0.5 >= 0.9 AND b + 0.6 >= 0.85 AND abs(a * 3) < 1.96) AND coalesce(2 * a / CASE WHEN b > 0 THEN b END >= 0.75, false) THEN 'bounded-finding' ELSE 'bounded-inconclusive' END AS state FROM f""")
 def fixed_adjudication(spark, sf):
     f = _facts(spark, sf).select("id", F.lit(0.7).alias("small_sharpe"), (F.col("a") + F.col("b")).alias("large_sharpe"), (F.col("n") > 50).alias("rejects"), (F.col("a") + 0.5).alias("forecast_corr"), (F.col("b") + 0.6).alias("span_r2"),
                                  (F.col("a") * 3).alias("alpha_t"), (2 * F.col("a")).alias("destroyed_sharpe"), F.col("b").alias("base_sharpe"), (2 * F.col("b")).alias("share_negative"))
@@ -83,5 +83,5 @@ def counterfactual_draws(spark, sf):
     x, y = _matrix(spark, sf)
     frame = spark.createDataFrame([(k, a.tolist()) for k, a in enumerate(x)], "pos long, x array<double>")
     weights = L.kernel_weights(frame, "x", 12)
-    worlds = [(d, k, float(v)) for d in range(4) for k, v in enumerate(np.random.default_rng(d).permutation(y))]
+    worlds = [(d, k, float(v)) for d in range(8) for k, v in enumerate(np.random.default_rng(d).permutation(y))]
     return rounded(S.counterfactual_sharpes(spark, weights, spark.createDataFrame(worlds, "draw long, pos long, y double")))

@@ -70,15 +70,10 @@ def spanning_one(spark, sf):
     return rounded(out.withColumn("t", F.round("t", 4)))
 
 
-@query()
-def spanning_two(spark, sf):
-    return rounded(E.spanning(V.series(spark, sf), "ret", ["passive", "xs"]))
-
-
-N_BOOT, BLOCK = 200, 6
+N_BOOT, BLOCK = 2_000, 6
 DRAWS = """, numbered AS (SELECT ret, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM series),
 size AS (SELECT max(n) AS n FROM numbered),
-starts AS (SELECT b, j, n, CAST('0x' || substr(md5('0|' || b || '|' || j), 1, 8) AS BIGINT) % (n - 6 + 1) AS start FROM size, range(200) x(b), range(1000) y(j) WHERE j < ceil(n / 6.0)),
+starts AS (SELECT b, j, n, CAST('0x' || substr(md5('0|' || b || '|' || j), 1, 8) AS BIGINT) % (n - 6 + 1) AS start FROM size, range(2000) x(b), range(1000) y(j) WHERE j < ceil(n / 6.0)),
 drawn AS (SELECT b, ret FROM starts, range(6) z(o) JOIN numbered ON pos = start + o WHERE j * 6 + o < starts.n)"""
 
 
@@ -97,14 +92,8 @@ def bootstrap_sharpe_ci_numpy(spark, sf):
     return rounded(B.sharpe_ci(V.series(spark, sf), n_boot=N_BOOT, block=BLOCK, generator="numpy"))
 
 
-@query()
-def bootstrap_auc_ci(spark, sf):
-    hourly = V.stream(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("score").alias("score"), F.max("label").alias("label"))
-    return rounded(B.auc_ci(hourly, "label", "score", "hour"))
-
-
 @query(WITH + f""", base AS (SELECT date, market, abs(ts) AS size, ret FROM positions),
-drawn AS (SELECT seed, date, market, ret, size * CASE WHEN substr(md5(seed || '|' || strftime(date, '%Y-%m-%d') || '|' || market), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS position FROM base, range(50) t(seed)),
+drawn AS (SELECT seed, date, market, ret, size * CASE WHEN substr(md5(seed || '|' || strftime(date, '%Y-%m-%d') || '|' || market), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS position FROM base, range(200) t(seed)),
 held2 AS (SELECT seed, date, lag(position) OVER (PARTITION BY seed, market ORDER BY date) * ret AS c FROM drawn),
 series2 AS (SELECT seed, date, avg(c) AS ret FROM held2 GROUP BY seed, date),
 sharpes AS (SELECT seed, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) AS s FROM series2 WHERE ret IS NOT NULL GROUP BY seed),
@@ -112,7 +101,7 @@ own AS (SELECT avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) AS s FROM port
 SELECT count(*) AS draws, {r('avg(CASE WHEN sharpes.s < own.s THEN 1.0 ELSE 0.0 END)', 'percentile')}, {r('quantile_cont(sharpes.s, 0.05)', 'p05')}, {r('quantile_cont(sharpes.s, 0.95)', 'p95')} FROM sharpes CROSS JOIN own""")
 def sign_randomisation(spark, sf):
     base = P.tsmom_positions(V.panel(spark, sf))
-    drawn = base.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    drawn = base.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(199))))
     coin = F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.date_format("date", "yyyy-MM-dd"), "market")), 1, 1)
     from pyspark.sql import Window
 

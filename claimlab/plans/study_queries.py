@@ -125,31 +125,38 @@ def option_prices(spark, sf):
 PDF = "(exp(-d1 * d1 / 2) / 2.5066282746310002)"
 
 
-@query(f"""WITH {OPTION} SELECT id, {r(N1, 'delta')}, {r(f'{PDF} / (s * v * sqrt(t))', 'gamma', 8)}, {r(f's * {PDF} * sqrt(t)', 'vega', 4)}, {r(f'-s * {PDF} * v / (2 * sqrt(t)) - 0.02 * k * exp(-0.02 * t) * {N2}', 'theta', 4)} FROM e""")
+@query(f"""WITH {OPTION} SELECT id, {r(N1, 'delta')}, {r(f'{PDF} / (s * v * sqrt(t))', 'gamma', 8)}, {r(f's * {PDF} * sqrt(t)', 'vega')}, {r(f'-s * {PDF} * v / (2 * sqrt(t)) - 0.02 * k * exp(-0.02 * t) * {N2}', 'theta')} FROM e""")
 def option_greeks(spark, sf):
     s, k, t, v = map(F.col, "sktv")
     g = _options(spark, sf).withColumn("g", X.bs_greeks(s, k, t, 0.02, v))
-    return rounded(g.select("id", "g.delta", "g.gamma", "g.vega", "g.theta"), 8).withColumns({c: F.round(c, k) + 0.0 for c, k in (("delta", 6), ("vega", 4), ("theta", 4))})
+    return g.select("id", *[(F.round(f"g.{c}", k) + 0.0).alias(c) for c, k in (("delta", 6), ("gamma", 8), ("vega", 6), ("theta", 6))])
 
 
-@query(f"WITH {OPTION} SELECT id, {r('v', 'iv', 4)} FROM e WHERE t >= 0.25 AND abs(ln(s / k)) < 0.1")
+NEAR = "t >= 0.25 AND abs(ln(s / k)) < 0.1"
+
+
+@query(f"WITH {OPTION} SELECT id, {r(CALL, 'price', 3)}, {r(CALL, 'repriced', 3)}, {r(f'CASE WHEN {NEAR} THEN v END', 'iv', 4)} FROM e")
 def implied_volatility(spark, sf):
+    """All parts are inverted: the price at the volatility found is the price.  Deep in
+    or out of the money many volatilities give one price, so the volatility itself is
+    compared where there is one."""
     s, k, t, v = map(F.col, "sktv")
-    near = _options(spark, sf).where((t >= 0.25) & (F.abs(F.log(s / k)) < 0.1)).withColumn("price", X.bs_price(s, k, t, 0.02, v))
-    return rounded(near.select("id", X.implied_vol(F.col("price"), s, k, t, 0.02).alias("iv")), 4)
+    priced = _options(spark, sf).withColumn("price", X.bs_price(s, k, t, 0.02, v))
+    found = priced.withColumn("found", X.implied_vol(F.col("price"), s, k, t, 0.02))
+    near = F.when((t >= 0.25) & (F.abs(F.log(s / k)) < 0.1), F.col("found"))
+    return found.select("id", *[(F.round(x, places) + 0.0).alias(name) for name, x, places in (("price", F.col("price"), 3), ("repriced", X.bs_price(s, k, t, 0.02, F.col("found")), 3), ("iv", near, 4))])
 
 
 @query()
 def implied_volatility_all(spark, sf):
-    """All parts.  No SQL: deep in or out of the money many volatilities give one price,
-    so the price at the volatility found is what can be compared."""
+    """All parts with the volatility that was found, also where others give the price."""
     s, k, t, v = map(F.col, "sktv")
     priced = _options(spark, sf).withColumn("price", X.bs_price(s, k, t, 0.02, v))
     priced = priced.withColumn("iv", X.implied_vol(F.col("price"), s, k, t, 0.02))
     return rounded(priced.select("id", "price", "iv", X.bs_price(s, k, t, 0.02, F.col("iv")).alias("repriced")), 4)
 
 
-@query()
+@query(f"""WITH {OPTION}, k AS (SELECT id, s, s * exp((0.02 + 0.5 * v * v) * t + 0.2533471031357997 * v * sqrt(t)) AS strike FROM e) SELECT id, {r('CASE WHEN strike BETWEEN s / 20 AND s * 5 THEN strike END', 'strike', 4)} FROM k""")
 def strike_from_delta(spark, sf):
     s, t, v = map(F.col, "stv")
     return rounded(_options(spark, sf).select("id", X.strike_from_delta(F.lit(0.4), s, t, 0.02, v).alias("strike")), 4)
@@ -162,7 +169,15 @@ def iv_trust_filter(spark, sf):
     return g.select("id", X.iv_is_trustworthy("v", 7 * (1 + F.col("id") % 9), "delta").alias("trusted"))
 
 
-@query()
+def _call_sql(s: str, t: str, v: str) -> str:
+    """A call's price in SQL, its intrinsic value at expiry."""
+    d1 = f"((ln({s} / k) + (0.02 + 0.5 * {v} * {v}) * {t}) / ({v} * sqrt({t})))"
+    return f"CASE WHEN {t} <= 0 THEN greatest({s} - k, 0) ELSE {s} * {X.norm_cdf_sql(d1)} - k * exp(-0.02 * {t}) * {X.norm_cdf_sql(f'({d1} - {v} * sqrt({t}))')} END"
+
+
+@query(f"""WITH {OPTION}, m AS (SELECT *, greatest(t - 0.1, 0) AS t1, s * 1.05 AS s1, v * 0.8 AS v1, {N1} * (s * 1.05 - s) AS delta, s * (exp(-d1 * d1 / 2) / 2.5066282746310002) * sqrt(t) * (v * 0.8 - v) AS vega, (-s * (exp(-d1 * d1 / 2) / 2.5066282746310002) * v / (2 * sqrt(t)) - 0.02 * k * exp(-0.02 * t) * {N2}) * 0.1 AS theta, {CALL} AS p0 FROM e),
+p AS (SELECT *, {_call_sql('s1', 't1', 'v1')} AS p1 FROM m)
+SELECT id, {r('p1 - p0', 'total')}, {r('delta', 'delta')}, {r('vega', 'vega')}, {r('theta', 'theta')}, {r('p1 - p0 - delta - vega - theta', 'residual')}, {r('p0', 'p0')}, {r('p1', 'p1')} FROM p""")
 def option_pnl_attribution(spark, sf):
     s, k, t, v = map(F.col, "sktv")
     a = _options(spark, sf).withColumn("a", X.pnl_attribution(s, s * 1.05, v, v * 0.8, k, t, F.lit(0.1), 0.02))
@@ -199,13 +214,13 @@ def expression_vs_underlying(spark, sf):
 CLAIMS = "b AS (SELECT l_suppkey, l_shipdate >= TIMESTAMP '1999-01-01' AS hold, (l_extendedprice / 1e4 - 2.6) AS x FROM lineitem), c AS (SELECT l_suppkey AS id, avg(CASE WHEN NOT hold THEN x END) AS va, avg(CASE WHEN NOT hold THEN x END) / nullif(stddev_samp(CASE WHEN NOT hold THEN x END), 0) * sqrt(count(CASE WHEN NOT hold THEN x END)) AS vt, avg(CASE WHEN hold THEN x END) AS ha, avg(CASE WHEN hold THEN x END) / nullif(stddev_samp(CASE WHEN hold THEN x END), 0) * sqrt(count(CASE WHEN hold THEN x END)) AS ht FROM b GROUP BY 1)"
 
 
-@query(f"""WITH {CLAIMS} SELECT id, sign(va) <> sign(ha) AS sign_flip, {r('ha - va', 'alpha_decay')}, CASE WHEN vt > 2 AND ht > 2 THEN '{D.SURVIVED}' WHEN vt > 2 AND sign(va) <> sign(ha) THEN '{D.CAUGHT}' WHEN vt > 2 THEN '{D.NOT_REPLICATED}' WHEN ht > 2 THEN '{D.UNCLAIMED}' ELSE '{D.NO_CLAIM}' END AS verdict FROM c""")
-def false_positive_verdicts(spark, sf):
+@query(f"""WITH {CLAIMS} SELECT id, sign(va) <> sign(ha) AS sign_flip, {r('ha - va', 'alpha_decay')}, CASE WHEN vt > 2 AND ht > 2 THEN '{D.SURVIVED}' WHEN vt > 2 AND sign(va) <> sign(ha) THEN '{D.CAUGHT}' WHEN vt > 2 THEN '{D.NOT_REPLICATED}' WHEN ht > 2 THEN '{D.UNCLAIMED}' ELSE '{D.NO_CLAIM}' END AS outcome FROM c""")
+def false_positive_outcomes(spark, sf):
     x = V.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp")).alias("hold"), (F.col("l_extendedprice") / 1e4 - 2.6).alias("x"))
     v, h = F.when(~F.col("hold"), F.col("x")), F.when(F.col("hold"), F.col("x"))
     t = lambda c: F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)) * F.sqrt(F.count(c))
     claims = x.groupBy("id").agg(F.avg(v).alias("valid_alpha"), t(v).alias("valid_t"), F.avg(h).alias("hold_alpha"), t(h).alias("hold_t"))
-    return rounded(D.false_positive(claims).select("id", "sign_flip", "alpha_decay", "verdict"))
+    return rounded(D.false_positive(claims).select("id", "sign_flip", "alpha_decay", "outcome"))
 
 
 MEMBERS = "base AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity >= 49 AND l_discount <= 0.02), variant AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity >= 48 AND l_discount <= 0.01)"
@@ -285,7 +300,7 @@ def depth_by_strike(spark, sf):
 
 
 def _vectors(spark, sf):
-    return V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.slice("embedding", 1, 8).cast("array<double>").alias("x"), (F.col("embedding")[8]).cast("double").alias("y"), "label")
+    return V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.slice("embedding", 1, F.size("embedding") - 1).cast("array<double>").alias("x"), F.element_at("embedding", -1).cast("double").alias("y"), "label")
 
 
 @query()
@@ -338,12 +353,6 @@ def guardrail_scan(spark, sf):
     return W.check_requests(talk).select("conv_id", "turn", "clause", "quote")
 
 
-@query()
-def checklist_score(spark, sf):
-    lines = V.read(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line is not null")
-    return W.score_checklist(lines, [("licence", ["licensed under", "all rights"]), ("contact", [r"@\w+\.", r"\+\d"]), ("secret", ["token", "password"])], "doc_id")
-
-
 @query(r"""SELECT item_id, CASE WHEN length(f) <= 60 THEN f ELSE rtrim(substr(f, 1, 59)) || '…' END AS clipped, regexp_replace(regexp_replace(lower(substr(f, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM benchmark)""")
 def clip_and_slug(spark, sf):
     b = V.read(spark, sf, "benchmark").withColumn("f", F.trim(F.regexp_replace("text", r"\s+", " ")))
@@ -362,8 +371,8 @@ def manifest_verify(spark, sf):
     return R.verify(found, declared)
 
 
-@query("""WITH r AS (SELECT c_mktsegment AS id, CASE WHEN count(*) > 300 THEN 'verdict-delivered' ELSE 'open' END AS state FROM customer GROUP BY 1)
-SELECT id, unnest(list_filter([CASE WHEN NOT regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'id is not kebab-case' END, CASE WHEN state NOT IN ('in-progress', 'verdict-delivered', 'protocol-ready-data-gated') THEN 'unknown state' END, CASE WHEN state = 'verdict-delivered' THEN 'no verdict' ELSE 'no reason' END], lambda x: x IS NOT NULL)) AS problem FROM r""")
+@query("""WITH r AS (SELECT c_mktsegment AS id, CASE WHEN count(*) > 300 THEN 'delivered' ELSE 'open' END AS state FROM customer GROUP BY 1)
+SELECT id, unnest(list_filter([CASE WHEN NOT regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'id is not kebab-case' END, CASE WHEN state NOT IN ('in-progress', 'delivered', 'data-gated') THEN 'unknown state' END, CASE WHEN state = 'delivered' THEN 'no finding' ELSE 'no reason' END], lambda x: x IS NOT NULL)) AS problem FROM r""")
 def card_validation(spark, sf):
-    cards = V.read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("id")).agg(F.when(F.count("*") > 300, "verdict-delivered").otherwise("open").alias("state"))
-    return R.validate_cards(cards.select("id", "state", F.col("id").alias("title"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("why_not_adjudicated")))
+    cards = V.read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("id")).agg(F.when(F.count("*") > 300, "delivered").otherwise("open").alias("state"))
+    return R.validate_cards(cards.select("id", "state", F.col("id").alias("title"), F.lit(None).cast("string").alias("finding"), F.lit(None).cast("string").alias("why_not_adjudicated")), ("in-progress", "delivered", "data-gated"), "delivered")
