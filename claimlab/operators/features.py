@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlab.session import ship
@@ -77,6 +77,21 @@ def timing_strategy(forecasts: DataFrame, returns: DataFrame, key: str = "pos",
     return forecasts.join(returns.select(key, ret), key).withColumn("strategy", F.col(forecast) * F.col(ret))
 
 
+def gaussian_kernel(x: np.ndarray, gamma: float) -> np.ndarray:
+    """All pairs' kernel values, from the inner products of the rows."""
+    inner = x @ x.T
+    norm = np.diag(inner)
+    apart = norm[:, None] + norm - 2 * inner
+    return np.exp(-0.5 * gamma * gamma * np.maximum(apart, 0.0))
+
+
+def least_squares(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The shortest solution; directions without weight in the matrix stay out of it."""
+    values, vectors = np.linalg.eigh(matrix)
+    kept = values > 1e-15 * len(matrix) * values[-1]
+    return vectors[:, kept] @ ((right @ vectors[:, kept]) / values[kept])
+
+
 def kernel_weights(rows: DataFrame, vector: str, window: int, gamma: float = 2.0, pos: str = "pos", chunk: int = 256) -> DataFrame:
     """(pos, weights array<double>): weights of the ``window`` earlier targets in the
     ridgeless Gaussian-kernel forecast; they depend on the predictors alone."""
@@ -86,15 +101,12 @@ def kernel_weights(rows: DataFrame, vector: str, window: int, gamma: float = 2.0
     dealt = rows.select(F.col(pos).alias("pos"), F.col(vector).alias("x")).withColumn("own", own).withColumn("chunk", F.explode(F.when(last > own, F.array(own, last)).otherwise(F.array(own))))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos", kind="stable")
-        x, out = np.stack(part["x"].to_numpy()).astype(float), []
-        for k in np.flatnonzero((part["own"] == part["chunk"]).to_numpy()):
-            if k >= window:
-                past = x[k - window : k]
-                gram = np.exp(-gamma**2 / 2 * ((past[:, None] - past[None]) ** 2).sum(-1))
-                here = np.exp(-gamma**2 / 2 * ((past - x[k]) ** 2).sum(-1))
-                out.append((part["pos"].iat[k], here @ np.linalg.pinv(gram)))
-        return pd.DataFrame(out, columns=["pos", "weights"])
+        part = part.sort_values("pos", kind="stable").reset_index(drop=True)
+        kernel = gaussian_kernel(np.stack(part["x"].to_numpy()).astype(float), gamma)
+        mine = part.index[(part["own"] == part["chunk"]) & (part.index >= window)]
+        # A window's matrix is a block on the diagonal of the chunk's.
+        weights = [least_squares(kernel[k - window : k, k - window : k], kernel[k - window : k, k]) for k in mine]
+        return pd.DataFrame({"pos": part.loc[mine, "pos"], "weights": weights})
 
     return dealt.groupBy("chunk").applyInPandas(run, "pos long, weights array<double>")
 
@@ -140,19 +152,84 @@ def planted_linear(spark: SparkSession, n: int, k: int = 3, snr: float = 0.35, s
 
 
 def planted_nonlinear(spark: SparkSession, n: int, seed: int = 0, rho: float = 0.9, snr: float = 0.6) -> DataFrame:
-    """A signal in cos(2 x), which no linear model sees."""
+    """A signal in cos(2 x), which no linear model sees: a standardised even function of
+    one predictor, added by the executors to the plain noise of the same draw."""
     rng = np.random.default_rng(seed)
-    x = persistent(rng, n, 1, rho)
-    wave = np.cos(2 * x[:, 0])
-    return _frame(spark, x, (wave - wave.mean()) / wave.std() * (snr * NOISE) + rng.standard_normal(n) * NOISE)
+    path = persistent(rng, n, 1, rho)
+    plain = _frame(spark, path, rng.standard_normal(n) * NOISE).withColumn("even", 1 - 2 * F.sin(F.col("x")[0]) ** 2)
+    moments = plain.agg(F.avg("even").alias("centre"), F.stddev_pop("even").alias("spread"))
+    lifted = (F.col("even") - F.col("centre")) / F.col("spread") * (snr * NOISE)
+    return plain.crossJoin(F.broadcast(moments)).select("pos", "x", (F.col("y") + lifted).alias("y"))  # one row of moments
 
 
 def reversal_world(series: DataFrame, order: str, value: str, theta: tuple[float, float] = (-0.8, -0.4), scale: float = 1.0, seed: int = 0) -> DataFrame:
-    """The series plus a moving average of order two that turns back; monthly scale."""
-    rows = series.select(order, value).orderBy(order).toPandas()
-    u = np.random.default_rng(seed).standard_normal(len(rows) + 2) * (rows[value].std(ddof=0) * scale)
-    rows[value] = rows[value] + u[2:] + theta[0] * u[1:-1] + theta[1] * u[:-2]
-    return series.sparkSession.createDataFrame(rows)
+    """The series plus a moving average of order two that turns back.
+
+    The shocks are a table by position, as many as rows and two; the average is a window
+    over it.  Monthly series: their order is one window.
+    """
+    spark = series.sparkSession
+    placed = series.withColumn("__at", F.row_number().over(Window.orderBy(order)) + 1)
+    told = series.agg(F.count("*").alias("n"), F.stddev_pop(value).alias("sd")).first()
+    shocks = spark.createDataFrame(pd.DataFrame({"__at": np.arange(told["n"] + 2), "u": np.random.default_rng(seed).standard_normal(told["n"] + 2)}))
+    w = Window.orderBy("__at")
+    turned = F.col("u") + sum(F.lit(c) * F.lag("u", k).over(w) for k, c in enumerate(theta, start=1))
+    return placed.join(shocks.select("__at", turned.alias("__turned")), "__at").withColumn(value, F.col(value) + F.col("__turned") * F.lit((told["sd"] or 0.0) * scale)).select(*series.columns)
+
+
+def momentum_world(spark: SparkSession, kind: str, markets: list[str], days: int, seed: int = 0, drift: float = 0.0011, tilt: float = 0.0006, noise: float = 0.012, stay: float = 377 / 378) -> DataFrame:
+    """(day, market, ret): daily returns of a world whose source of profit is known.
+
+    ``common`` and ``idio`` have a two-state drift, one for all markets or one each, that
+    keeps its state with probability ``stay`` and sums to nothing; ``tilt`` has a constant
+    drift, ``noise`` none.
+    """
+    if kind not in ("common", "idio", "tilt", "noise"):
+        raise ValueError(f"no world {kind!r}")
+    ship(spark)
+
+    def states(rng: np.random.Generator) -> np.ndarray:
+        turns = np.cumsum(rng.random(days) >= stay) + rng.integers(0, 2)
+        path = drift * (1 - 2 * (turns % 2))
+        return path - path.mean()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, market in zip(batch["k"], batch["market"], strict=True):
+                own = np.random.default_rng([seed, int(k) + 1])
+                base = states(np.random.default_rng([seed, 0])) if kind == "common" else states(own) if kind == "idio" else np.full(days, tilt if kind == "tilt" else 0.0)
+                yield pd.DataFrame({"day": np.arange(days), "market": market, "ret": base + own.normal(0.0, noise, days)})
+
+    named = spark.createDataFrame(list(enumerate(markets)), "k long, market string").repartition(len(markets), "k")
+    return named.mapInPandas(run, "day long, market string, ret double")
+
+
+def kernel_diagnostics(weights: DataFrame, rows: DataFrame, vector: str, window: int, pos: str = "pos") -> DataFrame:
+    """One row: correlation of the mean weight by lag with recency (momentum if positive),
+    and of the weights' size with the predictors' innovation volatility in the window
+    (volatility timing if negative)."""
+    profile = weight_profile(weights, pos)
+    recency = profile.agg(F.corr("weight", -F.col("lag")).alias("recency_corr"))
+    w = Window.orderBy(pos)
+    steps = rows.select(F.col(pos).alias("pos"), F.zip_with(F.col(vector), F.lag(vector).over(w), lambda a, b: a - b).alias("step"))
+    each = steps.select("pos", F.posexplode_outer("step").alias("k", "d"))
+    inside = Window.partitionBy("k").orderBy("pos").rowsBetween(-(window - 1), -1)
+    spread = each.withColumn("sd", F.stddev_pop("d").over(inside)).groupBy("pos").agg(F.avg("sd").alias("vol"))
+    size = weights.select("pos", F.aggregate("weights", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("size"))
+    timing = size.join(spread, "pos").agg(F.corr("size", "vol").alias("scale_vs_predvol"))
+    return recency.crossJoin(F.broadcast(timing))  # one row each
+
+
+def phase_diagram(rows: DataFrame, vector: str, windows: list[int], gamma: float = 2.0, pos: str = "pos", value: str = "y", per_year: int = 12) -> DataFrame:
+    """(window, n, sharpe, recency_corr, scale_vs_predvol) for every window length."""
+    out = None
+    for window in windows:
+        weights = kernel_weights(rows, vector, window, gamma, pos)
+        traded = apply_weights(weights, rows, pos, value).join(rows.select(pos, value), pos).withColumn("ret", F.col("forecast") * F.col(value))
+        stats = traded.agg(F.count("*").alias("n"), (F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * F.sqrt(F.lit(float(per_year)))).alias("sharpe"))
+        one = stats.crossJoin(F.broadcast(kernel_diagnostics(weights, rows, vector, window, pos))).withColumn("window", F.lit(window))
+        out = one if out is None else out.unionByName(one)
+    return out.select("window", "n", "sharpe", "recency_corr", "scale_vs_predvol")
 
 
 def wild_bootstrap(x: np.ndarray, seed: int = 0) -> np.ndarray:
