@@ -30,13 +30,14 @@ def unescaped(text: Column) -> Column:
 def format_chats(turns: DataFrame, loss_role: str = "assistant", id_col: str = "conv_id") -> DataFrame:
     """One row per conversation: conv_id, formatted, mask array<struct<chars, loss>>.
 
-    Rows are ordered by (turn, role, text), nulls first; null texts and roles are empty;
-    rows with a null conversation are one conversation.  Repeated rows are turns of
-    their own.  An empty table gives an empty result.
+    Rows are ordered by (turn, role, text), nulls first; null texts and roles are empty.
+    A row without a conversation is a conversation of its own, with its repeats.
+    Repeated rows are turns of their own.  An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
-    grouped = turns.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), role.alias("role"), text.alias("text")))).alias("turns"))
+    alone = F.when(F.col(id_col).isNull(), F.xxhash64(F.col("turn"), role, text))
+    grouped = turns.groupBy(F.col(id_col).alias("conv_id"), alone.alias("alone")).agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), role.alias("role"), text.alias("text")))).alias("turns"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform("turns", lambda t: t["role"]))
 
     def piece(turn: Column, earlier: Column) -> Column:
@@ -60,7 +61,8 @@ def read_back(chats: DataFrame) -> DataFrame:
     array<struct<role, text>>, loss_text, formatted_chars.
 
     Pieces of the mask at even places are the template's marks, at odd ones the turns'
-    texts, so the mask and the turns are read side by side.
+    texts, so the mask and the turns are read side by side; lengths or numbers that
+    disagree raise an error.
     """
     runs = F.filter(F.split(F.col("formatted"), CLOSE, -1), lambda r: r != "")
 
@@ -73,7 +75,8 @@ def read_back(chats: DataFrame) -> DataFrame:
 
     parsed = chats.withColumn("raw", F.flatten(F.transform(runs, turns_of)))
     texts_mask = F.filter(F.col("mask"), lambda m, i: i % 2 == 1)
-    under = F.zip_with(F.col("raw"), texts_mask, lambda t, m: F.when(m["loss"] & (F.length(t["body"]) == m["chars"]), unescaped(t["body"])))
+    wrong = F.raise_error(F.lit("the mask does not fit the text")).cast("string")
+    under = F.zip_with(F.col("raw"), texts_mask, lambda t, m: F.when(~F.coalesce(F.length(t["body"]) == m["chars"], F.lit(False)), wrong).when(m["loss"], unescaped(t["body"])))
     return parsed.select(
         "conv_id",
         F.transform("raw", lambda t: F.struct(t["role"].alias("role"), unescaped(t["body"]).alias("text"))).alias("turns"),

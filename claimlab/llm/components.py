@@ -30,10 +30,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = materialise(pairs.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links")
     while not _stars(links):
         both = links.union(links.select("lo", "hi")).toDF("node", "other")
-        least = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root"))
-        large = both.where("other > node").join(least, "node").select(F.col("other").alias("hi"), F.col("root").alias("lo")).distinct()
-        nearest = large.groupBy("hi").agg(F.min("lo").alias("root"))
-        small = large.join(nearest, "hi").select(F.inline(F.array(F.struct("hi", F.col("root").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("root").alias("lo")))))
+        # Written, so that both sides of the joins are plain exchanges: Spark can then split
+        # a hub's links over tasks.
+        least = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")), "least")
+        large = materialise(both.where("other > node").join(least.hint("merge"), "node").select(F.col("other").alias("hi"), F.col("root").alias("lo")).distinct(), "large")
+        nearest = materialise(large.groupBy("hi").agg(F.min("lo").alias("root")), "nearest")
+        small = large.join(nearest.hint("merge"), "hi").select(F.inline(F.array(F.struct("hi", F.col("root").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("root").alias("lo")))))
         done, links = links, materialise(small.where("hi != lo").distinct(), "links")
-        discard(done)
+        discard(done, least, large, nearest)
     return links.toDF("node", "root")

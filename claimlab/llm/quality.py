@@ -4,7 +4,8 @@ A text is a bag of passages of ``PASSAGE`` words.  Each passage is encoded - sha
 character classes, repetition, word lengths, then a learned tanh layer - and a gated
 attention network, trained from the document's label alone, weighs the passages.  The
 weighted representation is scored by a logistic unit.  Training is full-batch Adam on the
-driver over a bounded number of labelled documents; scoring is one pass over all texts.
+driver over a bounded number of labelled documents and of passages of each, and ends when
+the loss is flat; scoring is one pass over all passages of all texts.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from .common import held_out, session
 from .labelled import training_rows
 
 PASSAGE = 64
-#: Labelled documents to learn from, at most.
-TRAINING_ROWS = 6_000
+#: Labelled documents to learn from, and passages of each, evenly spaced, at most.
+TRAINING_ROWS, TRAINING_PASSAGES = 6_000, 64
 HIDDEN, GATE, STEPS, RATE, DECAY = 24, 12, 400, 0.02, 1e-4
+#: Training ends when so many steps have lowered the loss by less than this share.
+PATIENCE, FLAT = 25, 1e-3
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"|", b"#$%&*", b"\"'()[]{}<>", b"@/\\_-+=~^`", bytes(range(128, 256)))
 _CLASS_OF = np.full(256, len(CLASSES), np.int64)
 for _k, _chars in enumerate(CLASSES):
@@ -48,6 +51,11 @@ def passage_features(text: str) -> np.ndarray:
     return out
 
 
+def spaced(n: int, most: int = TRAINING_PASSAGES) -> np.ndarray:
+    """At most so many places, evenly spaced from the first on."""
+    return np.arange(n) if n <= most else np.arange(most) * n // most
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -85,27 +93,38 @@ def train(bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed:
     w = model.weights = {"enc": glorot(N_FEATURES, HIDDEN), "enc0": np.zeros(HIDDEN), "v": glorot(HIDDEN, GATE), "u": glorot(HIDDEN, GATE), "a": glorot(GATE, 1)[:, 0], "out": glorot(HIDDEN, 1)[:, 0], "out0": np.zeros(1)}
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     begins = np.cumsum([0] + [len(b) for b in bags[:-1]])
-    scaled = (x - model.mean) / model.scale
+    best, since = np.inf, 0
     for t in range(1, steps + 1):
-        h, v, u, a, bag = model.attention(x, begins)
-        z = np.add.reduceat(a[:, None] * h, begins)
-        p = 1 / (1 + np.exp(-np.clip(z @ w["out"] + w["out0"], -30, 30)))
-        d_logit = (p - labels) / len(labels)
-        d_z = d_logit[:, None] * w["out"]
-        d_a = (d_z[bag] * h).sum(1)
-        d_s = a * (d_a - np.add.reduceat(a * d_a, begins)[bag])
-        d_gate = d_s[:, None] * w["a"]
-        d_v, d_u = d_gate * u * (1 - v * v), d_gate * v * u * (1 - u)
-        d_h = (a[:, None] * d_z[bag] + d_v @ w["v"].T + d_u @ w["u"].T) * (1 - h * h)
-        grads = {"enc": scaled.T @ d_h, "enc0": d_h.sum(0), "v": h.T @ d_v, "u": h.T @ d_u, "a": (v * u).T @ d_s, "out": z.T @ d_logit, "out0": d_logit.sum(keepdims=True)}
+        loss, grads = loss_and_gradient(model, x, begins, labels)
         for k, g in grads.items():
-            g = g + DECAY * w[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             w[k] = w[k] - RATE * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+        best, since = (loss, 0) if loss < best * (1 - FLAT) else (best, since + 1)
+        if since >= PATIENCE:
+            break
     return model
 
 
+def loss_and_gradient(model: Model, x: np.ndarray, begins: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of the documents with weight decay, and its gradient."""
+    w = model.weights
+    h, v, u, a, bag = model.attention(x, begins)
+    z = np.add.reduceat(a[:, None] * h, begins)
+    logit = np.clip(z @ w["out"] + w["out0"], -30, 30)
+    p = 1 / (1 + np.exp(-logit))
+    loss = float(np.mean(np.logaddexp(0, logit) - labels * logit) + DECAY / 2 * sum((m * m).sum() for m in w.values()))
+    d_logit = (p - labels) / len(labels)
+    d_z = d_logit[:, None] * w["out"]
+    d_a = (d_z[bag] * h).sum(1)
+    d_s = a * (d_a - np.add.reduceat(a * d_a, begins)[bag])
+    d_gate = d_s[:, None] * w["a"]
+    d_v, d_u = d_gate * u * (1 - v * v), d_gate * v * u * (1 - u)
+    d_h = (a[:, None] * d_z[bag] + d_v @ w["v"].T + d_u @ w["u"].T) * (1 - h * h)
+    grads = {"enc": ((x - model.mean) / model.scale).T @ d_h, "enc0": d_h.sum(0), "v": h.T @ d_v, "u": h.T @ d_u, "a": (v * u).T @ d_s, "out": z.T @ d_logit, "out0": d_logit.sum(keepdims=True)}
+    return loss, {k: g + DECAY * w[k] for k, g in grads.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
     """Learn from ``quality`` of at most ``most`` labelled documents; their passages are
     encoded on the executors and only numbers reach the driver."""
@@ -114,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [passage_features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "label": batch.column(2), "features": pa.array([f.astype("<f4").tobytes() for f in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "label": batch.column(2), "features": pa.array([f[spaced(len(f))].astype("<f4").tobytes() for f in found], pa.binary())})
 
     rows = training_rows(docs, labels, "quality", most).select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(encode, "doc_id long, label int, features binary").collect()
     rows.sort(key=lambda r: (r[0], r[2]))

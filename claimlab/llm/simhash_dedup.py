@@ -141,8 +141,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, split_over
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     known = nodes.where("rep is not null")
     roots = components(links(known, radius, split_over))
-    classes = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return (marked.join(classes, "fp")
+    # Written, as in the components: the copies of one text may be split over tasks.
+    classes = materialise(nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "fingerprint-classes")
+    return (marked.join(classes.hint("merge"), "fp")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp"))
 
 

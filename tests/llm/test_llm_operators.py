@@ -368,6 +368,11 @@ def test_chat_round_trip(spark):
     for r in chats.collect():
         assert sum(p["chars"] for p in r["mask"]) == len(r["formatted"])
         assert r["formatted"].count("<turn role=") == r["formatted"].count("</turn>")
+    broken = chats.withColumn("mask", F.transform("mask", lambda m: F.struct((m["chars"] + 1).alias("chars"), m["loss"].alias("loss"))))
+    with pytest.raises(Exception, match="the mask does not fit"):
+        chat_format.read_back(broken).collect()
+    alone = chat_format.read_back(chat_format.format_chats(spark.createDataFrame([(None, 0, "user", t) for t in "abb"], "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted([t["text"] for t in r["turns"]] for r in alone) == [["a"], ["b", "b"]]
     assert chat_format.chat_digests(chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
@@ -518,7 +523,41 @@ def test_classifiers_without_anything_to_learn(spark, empty, which):
         assert got.count() == d.count()
 
 
-def test_quality_gradient():
+def test_quality_gradient_by_finite_differences():
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(0, 1, (rng.integers(1, 5), quality.N_FEATURES)) for _ in range(30)]
+    labels = rng.integers(0, 2, 30).astype(float)
+    model = quality.train(bags, labels, steps=3)
+    x, begins = np.concatenate(bags), np.cumsum([0] + [len(b) for b in bags[:-1]])
+    _, grads = quality.loss_and_gradient(model, x, begins, labels)
+    for name, g in grads.items():
+        flat = model.weights[name].reshape(-1)
+        for at in rng.choice(len(flat), min(5, len(flat)), replace=False):
+            ends = []
+            for step in (1e-5, -1e-5):
+                flat[at] += step
+                ends.append(quality.loss_and_gradient(model, x, begins, labels)[0])
+                flat[at] -= step
+            assert g.reshape(-1)[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-7), name
+
+
+def test_quality_score_by_a_plain_loop():
+    rng = np.random.default_rng(2)
+    bags = [rng.normal(0, 1, (rng.integers(1, 5), quality.N_FEATURES)) for _ in range(40)]
+    model = quality.train(bags, rng.integers(0, 2, 40).astype(float), steps=20)
+    w = model.weights
+    for bag, got in zip(bags, model.score(bags), strict=True):
+        hidden, strengths = [], []
+        for row in bag:
+            h = [np.tanh(sum((row[f] - model.mean[f]) / model.scale[f] * w["enc"][f, j] for f in range(len(row))) + w["enc0"][j]) for j in range(quality.HIDDEN)]
+            gate = [np.tanh(np.dot(h, w["v"][:, j])) / (1 + np.exp(-np.dot(h, w["u"][:, j]))) for j in range(quality.GATE)]
+            hidden.append(h)
+            strengths.append(np.exp(np.dot(gate, w["a"])))
+        mean = [sum(s * h[j] for s, h in zip(strengths, hidden, strict=True)) / sum(strengths) for j in range(quality.HIDDEN)]
+        assert got == pytest.approx(1 / (1 + np.exp(-(np.dot(mean, w["out"]) + w["out0"][0]))))
+
+
+def test_quality_learns():
     """The learned attention beats a constant, and passages' order does not matter."""
     rng = np.random.default_rng(0)
     bags = [rng.normal(0, 1, (rng.integers(1, 6), quality.N_FEATURES)) for _ in range(200)]
