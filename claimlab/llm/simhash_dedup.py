@@ -152,7 +152,7 @@ def keep_one(docs: DataFrame, width: int, radius: int) -> DataFrame:
 
     Where an id occurs on several rows, one row of it stays (the smallest by text, then
     by the other columns' JSON).  Rows without an id stay only if nobody with an id is
-    in their component.
+    in their component, one row of each text.
     """
     return keep_founders(docs, near_duplicates(docs, width, radius))
 
@@ -168,6 +168,7 @@ def keep_founders(docs: DataFrame, classes: DataFrame) -> DataFrame:
     kept = docs.join(stay.select(own).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
     if stay.where("n > 1").limit(1).count():
         rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *([F.to_json(F.struct(*rest))] if rest else [])))
+        one = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
+        rank = F.row_number().over(Window.partitionBy(*one).orderBy("text", *([F.to_json(F.struct(*rest))] if rest else [])))
         kept = kept.withColumn(order, rank).where(F.col(order) == 1).drop(order)
     return kept

@@ -33,6 +33,29 @@ def test_stages(spark):
     assert all(a["start"] + a["n_tokens"] == b["start"] and a["doc_id"] <= b["doc_id"] for a, b in zip(out, out[1:], strict=False))
 
 
+def test_stages_on_awkward_rows(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names."""
+    long = " ".join(f"word{k % 900} and so on" for k in range(30_000))
+    texts = [None, "", " \t", "a", long, long + " end", "one short text of seven words here", "one short text of seven words here"]
+    rows = [(k, t, "en", f"s{k % 2}", 1, "x", 2, 3, "y", {"k": 1}) for k, t in enumerate(texts)]
+    rows += [rows[6], (None, "no id", None, None, None, None, None, None, None, None), (None, "no id either", None, None, None, None, None, None, None, None), (3, "a second text of this id", "en", None, 1, "x", 2, 3, "y", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, its string, DIRTY int, size long, own_id string, more map<string,int>"
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.dedup_stage(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None) == [(0, None), (3, "a"), (4, long), (6, texts[6])]
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == ["no id", "no id either"]
+    assert corpus_pipeline.decontamination_stage(spark, docs, SF).count() == len(rows)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, SF)
+    assert mixed.columns == docs.columns and all(r["text"] and r["text"].strip() for r in mixed.collect())
+    ids = corpus_pipeline.token_stage(spark, docs, SF).collect()
+    assert len(ids) == len(rows) and min(r["doc_id"] for r in ids) == -(2**63)
+    good = corpus_pipeline.quality_stage(spark, docs.drop("more"), SF)
+    assert good.columns == docs.drop("more").columns
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_dedup_stage_leaves_no_pair_alike(spark):
     """Every survivor's five-word Jaccard similarity to every other is below 0.8, and
     whoever went is alike to somebody."""
