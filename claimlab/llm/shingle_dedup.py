@@ -8,7 +8,7 @@ component, and each holds its pairs against the exact similarity:
 1. the bit-sliced SimHash comparison, over fingerprints of the five-word shingles;
 2. in each bucket of texts that share a shingle of their prefixes, everybody with the
    bucket's smallest id;
-3. all pairs of a bucket whose sizes allow the similarity.
+3. all pairs of a bucket whose sizes and folded parities allow the similarity.
 
 Buckets are those of a prefix filter: sets that are alike share a shingle among the first
 n - ceil(0.8 n) + 1 of each, under any order of all shingles, so no link is lost.  The
@@ -36,6 +36,8 @@ CROWDED, MOST_CROWDED = 100, 65_536
 #: Ids that are broadcast, 8 bytes each, at most.
 SMALL_TABLE_ROWS = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Parities that a bucket's rows carry, in bits.
+FOLD = 512
 
 
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
@@ -66,10 +68,10 @@ def prefix(hashes: np.ndarray, crowded: np.ndarray, percent: int = PERCENT) -> n
     return np.concatenate([hashes[~last], hashes[last]])[: n - -(-percent * n // 100) + 1]
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
+def parities(hashes: np.ndarray, size: int | None = None) -> np.ndarray:
     """For each value of the hashes' last bits, whether an odd number of the set's
-    hashes have it: bits, twice to four times as many as hashes."""
-    size = max(64, 1 << (2 * len(hashes)).bit_length())
+    hashes have it: bits, twice to four times as many as hashes by default."""
+    size = size or max(64, 1 << (2 * len(hashes)).bit_length())
     return np.packbits(np.bincount(hashes.view(np.uint64) & np.uint64(size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little")
 
 
@@ -88,7 +90,7 @@ def alike(s: np.ndarray, t: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row per distinct text: digest, id (the smallest), n, fp, prefix, odd, text."""
+    """One row per distinct text: digest, id (the smallest), n, fp, prefix, odd, fold, text."""
     text = F.coalesce("text", F.lit(""))
     told = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     distinct = told.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text"))
@@ -96,7 +98,7 @@ def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, fps, firsts, odd = [], [], [none], []
+            sizes, fps, firsts, odd, fold = [], [], [none], [], []
             for x in batch.column(2).to_pylist():
                 h = shingle_hashes(x, width)
                 s = np.unique(h).view(np.int64)
@@ -104,13 +106,14 @@ def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 fps.append(simhash_of(h))
                 firsts.append(prefix(s, none, percent) if len(s) else none)
                 odd.append(parities(s).tobytes())
+                fold.append(parities(s, FOLD).tobytes())
             ends = np.cumsum([0, *map(len, firsts[1:])])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.binary()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts))), pa.array(odd, pa.binary()), batch.column(2)],
-                ["digest", "id", "n", "fp", "prefix", "odd", "text"])
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts))), pa.array(odd, pa.binary()), pa.array(fold, pa.binary()), batch.column(2)],
+                ["digest", "id", "n", "fp", "prefix", "odd", "fold", "text"])
 
-    return materialise(distinct.mapInArrow(mark, "digest binary, id long, n long, fp long, prefix array<long>, odd binary, text string"), "texts")
+    return materialise(distinct.mapInArrow(mark, "digest binary, id long, n long, fp long, prefix array<long>, odd binary, fold binary, text string"), "texts")
 
 
 def _prefixes(texts: DataFrame, crowded: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -170,30 +173,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name
 
 
 def _pairs_apart(rows: DataFrame, percent: int) -> DataFrame:
-    """(x, y): pairs of a bucket in different components whose sizes allow the similarity.
-    ``rows`` has (h, n, id, root)."""
+    """(x, y): pairs of a bucket in different components whose sizes and folded parities
+    allow the similarity.  ``rows`` has (h, n, id, root, fold)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for group in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
+        def pairs(rows: np.ndarray, folds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            for group, fold in zip(np.split(rows, cuts), np.split(folds, cuts), strict=True):
                 n, ids, root = group[:, 1], group[:, 2], group[:, 3]
                 if (root == root[0]).all():
                     continue
                 ends = np.searchsorted(n, n * 100 // percent, "right")
                 for i, end in enumerate(ends.tolist()):
-                    other = ids[i + 1 : end][root[i + 1 : end] != root[i]]
+                    apart = np.bitwise_count(fold[i + 1 : end] ^ fold[i]).sum(1, dtype=np.int64)
+                    other = ids[i + 1 : end][(root[i + 1 : end] != root[i]) & (apart * (100 + percent) <= (n[i + 1 : end] + n[i]) * (100 - percent))]
                     if len(other):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["x", "y"])
 
-        rest = np.zeros((0, 4), np.int64)
+        rest, folds = np.zeros((0, 4), np.int64), np.zeros((0, FOLD // 64), np.uint64)
         for batch in batches:
-            rest = np.concatenate([rest, np.column_stack([c.to_numpy() for c in batch.columns])])
+            rest = np.concatenate([rest, np.column_stack([c.to_numpy() for c in batch.columns[:4]])])
+            folds = np.concatenate([folds, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, FOLD // 64)])
             cut = int(np.searchsorted(rest[:, 0], rest[-1, 0])) if len(rest) else 0  # the last bucket may go on
-            yield from pairs(rest[:cut]) if cut else ()
-            rest = rest[cut:]
+            yield from pairs(rest[:cut], folds[:cut]) if cut else ()
+            rest, folds = rest[cut:], folds[cut:]
         if len(rest):
-            yield from pairs(rest)
+            yield from pairs(rest, folds)
 
-    return rows.repartition(parallelism(rows.sparkSession), "h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "x long, y long").distinct()
+    dealt = rows.select("h", "n", "id", "root", "fold").repartition(parallelism(rows.sparkSession), "h").sortWithinPartitions("h", "n", "id")
+    return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -233,6 +240,7 @@ def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     second = _verified(hub.where(in_size).select(F.col("hub.id").alias("x"), F.col("id").alias("y")).distinct(), known, width, percent, "second-links")
 
     rooted = _rooted(shared, components(first.union(second)))
+    rooted = rooted.join(known.select("id", "fold").hint("merge"), "id")
     third = _verified(_pairs_apart(rooted, percent), known, width, percent, "third-links")
     roots = components(first.union(second).union(third))
     drop_shuffle_files(spark)
