@@ -18,6 +18,7 @@ order is by hash, with the shingles that crowd the prefixes most last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -136,10 +137,12 @@ def _prefixes(texts: DataFrame, crowded: np.ndarray, width: int, percent: int) -
     return texts.select("n", "id", "prefix", "text").where("n > 0").mapInArrow(run, "h long, n long, id long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """(a, b): the pairs (x, y) of ids whose exact similarity suffices.  Few pairs have
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame | None:
+    """(a, b): the pairs (x, y) of ids whose exact similarity suffices; None without any.  Few pairs have
     their texts compared: the others' parities show that too many shingles differ."""
     pairs = materialise(pairs, f"{name}-pairs")
+    if not pairs.limit(1).count():
+        return None
     side = lambda x: texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")).hint("merge")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +154,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name
     weighed = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "n_x", "n_y", "odd_x", "odd_y")
     every, pairs = pairs, materialise(weighed.mapInArrow(near, "x long, y long").distinct(), f"{name}-near")
     discard(every)
+    if not pairs.limit(1).count():
+        return None
     ids = materialise(pairs.select(F.inline(F.array(F.struct(F.col("x").alias("i")), F.struct(F.col("y").alias("i"))))).distinct(), f"{name}-ids")
     few = F.broadcast(ids) if ids.count() <= SMALL_TABLE_ROWS else ids
     mine = texts.join(few, texts["id"] == F.col("i"), "left_semi").select("id", "text")
@@ -234,17 +239,22 @@ def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                          .withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size"), "shared")
 
     drop_shuffle_files(spark)
-    rooted = _rooted(shared, components(first))
-    hub = rooted.withColumn("hub", F.min(F.struct("id", "n", "root")).over(bucket)).where("hub.root != root")
-    in_size = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
-    second = _verified(hub.where(in_size).select(F.col("hub.id").alias("x"), F.col("id").alias("y")).distinct(), known, width, percent, "second-links")
-
-    rooted = _rooted(shared, components(first.union(second)))
-    rooted = rooted.join(known.select("id", "fold").hint("merge"), "id")
-    third = _verified(_pairs_apart(rooted, percent), known, width, percent, "third-links")
-    roots = components(first.union(second).union(third))
+    found = [first] if first is not None else []
+    roots = components(first) if found else spark.createDataFrame([], "node long, root long")
+
+    def with_links(more: DataFrame | None) -> DataFrame:
+        if more is None:
+            return roots
+        found.append(more)
+        return components(reduce(DataFrame.union, found))
+
+    hub = _rooted(shared, roots).withColumn("hub", F.min(F.struct("id", "n", "root")).over(bucket)).where("hub.root != root")
+    in_size = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
+    roots = with_links(_verified(hub.where(in_size).select(F.col("hub.id").alias("x"), F.col("id").alias("y")).distinct(), known, width, percent, "second-links"))
+    apart = _rooted(shared, roots).join(known.select("id", "fold").hint("merge"), "id")
+    roots = with_links(_verified(_pairs_apart(apart, percent), known, width, percent, "third-links"))
     drop_shuffle_files(spark)
     classes = materialise(_rooted(texts.select("digest", "id"), roots).select("digest", F.col("root").alias("component_id")), "classes")
-    discard(texts, marks, shared, first, second, third)
+    discard(texts, marks, shared, *found)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     return marked.join(classes.hint("merge"), "digest").select("doc_id", "component_id")
