@@ -5,8 +5,11 @@ Each study is a composition of relational steps over whole tables; nothing is co
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlab.functions import expressions as X
 from claimlab.operators import bootstrap as B
@@ -40,18 +43,41 @@ def coverage(trades: DataFrame, usable: Column, value: str) -> DataFrame:
 
 
 def modelled_attribution(trades: DataFrame, rate: float, multiplier: float = 100.0) -> DataFrame:
-    """Trades with a trustworthy volatility, their result split by the option model.
+    """Trades with a trustworthy volatility, their result split by the option model: adds
+    total_pnl, delta_pnl, vega_pnl, theta_pnl, residual_pnl and modelled_entry.
 
     ``trades``: s_in, s_out, iv_in, iv_out, delta, dte_in, held_days, contracts, cost_in,
-    dollar_pnl.  The strike is the one that has the delta at entry.
+    dollar_pnl.  The strike is the one that has the delta at entry.  Two prices and the
+    Greeks of a call are worked out on Arrow batches: as one expression they outgrow what
+    the compiler takes.
     """
     c = F.col
+    cdf, pdf = X.normal_arrays()
+    parts = ("total", "delta", "vega", "theta", "residual")
+
+    def split(s0: pd.Series, s1: pd.Series, v0: pd.Series, v1: pd.Series, k: pd.Series, t0: pd.Series, dt: pd.Series) -> pd.DataFrame:
+        s0, s1, v0, v1, k, t0, dt = (x.to_numpy(float) for x in (s0, s1, v0, v1, k, t0, dt))
+
+        def price(s, v, t):
+            root = v * np.sqrt(t)
+            d1 = (np.log(s / k) + (rate + v * v / 2) * t) / root
+            alive = s * cdf(d1) - k * np.exp(-rate * t) * cdf(d1 - root)
+            return np.where(t <= 0, np.maximum(s - k, 0.0), np.where(v <= 0, np.maximum(s - k * np.exp(-rate * t), 0.0), alive)), d1, d1 - root
+
+        with np.errstate(all="ignore"):
+            p0, d1, d2 = price(s0, v0, t0)
+            p1, _, _ = price(s1, v1, np.maximum(t0 - dt, 0.0))
+            theta = -s0 * pdf(d1) * v0 / (2 * np.sqrt(t0)) - rate * k * np.exp(-rate * t0) * cdf(d2)
+            out = {"total": p1 - p0, "delta": cdf(d1) * (s1 - s0), "vega": s0 * pdf(d1) * np.sqrt(t0) * (v1 - v0), "theta": theta * dt}
+            return pd.DataFrame({**out, "residual": out["total"] - out["delta"] - out["vega"] - out["theta"], "p0": p0})
+
     years = c("dte_in") / 365.0
     usable = c("iv_in").isNotNull() & c("iv_out").isNotNull() & c("s_out").isNotNull() & X.iv_is_trustworthy("iv_in", "dte_in", "delta")
     struck = trades.where(usable).withColumn("k", X.strike_from_delta(c("delta"), c("s_in"), years, rate, c("iv_in"))).where("k is not null")
-    split = struck.withColumn("a", X.pnl_attribution(c("s_in"), c("s_out"), c("iv_in"), c("iv_out"), c("k"), years, c("held_days") / 365.0, rate))
+    kind = T.StructType([T.StructField(p, T.DoubleType()) for p in (*parts, "p0")])
+    told = struck.withColumn("a", F.pandas_udf(split, kind)("s_in", "s_out", "iv_in", "iv_out", "k", years, c("held_days") / 365.0))
     scale = c("contracts") * multiplier
-    return split.select("*", *[(c(f"a.{p}") * scale).alias(f"{p}_pnl") for p in ("total", "delta", "vega", "theta", "residual")], c("a.p0").alias("modelled_entry")).drop("a", "k")
+    return told.select("*", *[(c(f"a.{p}") * scale).alias(f"{p}_pnl") for p in parts], c("a.p0").alias("modelled_entry")).drop("a", "k")
 
 
 def attribution_validity(attributed: DataFrame) -> DataFrame:

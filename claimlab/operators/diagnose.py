@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,22 +77,42 @@ def rolling_windows(stream: DataFrame, window: int = 150, least_class: int = 5,
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("pos", kind="stable")
         s, y = batch["s"].to_numpy(), batch["y"].to_numpy()
-        mine = np.flatnonzero((batch["own"] == batch["chunk"]).to_numpy() & (batch["pos"] >= window - 1).to_numpy())
+        wanted = ((batch["own"] == batch["chunk"]) & (batch["pos"] >= window - 1)).to_numpy()
+        held = SortedWindow()
         out = []
-        for k in mine:
-            a, b = s[k - window + 1 : k + 1], y[k - window + 1 : k + 1]
-            n_pos = int(b.sum())
-            if min(n_pos, window - n_pos) < least_class:
+        for k, (score, label) in enumerate(zip(s.tolist(), y.tolist(), strict=True)):
+            if k >= window:
+                held.move(float(s[k - window]), int(y[k - window]), -1)
+            held.move(score, label, 1)
+            n_pos = len(held.sides[1])
+            if not wanted[k] or min(n_pos, window - n_pos) < least_class:
                 continue
-            p, q = np.sort(a[b == 1]), np.sort(a[b == 0])
-            wins = np.searchsorted(q, p, "left").sum() + np.searchsorted(q, p, "right").sum()
+            a, b = s[k - window + 1 : k + 1], y[k - window + 1 : k + 1]
             lo, hi = block_interval(a, b, n_boot, block, seed)
-            out.append((batch["pos"].iat[k], batch["ts"].iat[k], batch["tie"].iat[k], wins / (2 * len(p) * len(q)), abs(a.mean() - b.mean()), lo, hi))
+            out.append((batch["pos"].iat[k], batch["ts"].iat[k], batch["tie"].iat[k], held.halves / (2 * n_pos * (window - n_pos)), abs(a.mean() - b.mean()), lo, hi))
         return pd.DataFrame(out, columns=["pos", "ts", "tie", "auc", "calib_err", "auc_lo", "auc_hi"])
 
     return dealt.groupBy("chunk").applyInPandas(run, "pos long, ts timestamp, tie long, auc double, calib_err double, auc_lo double, auc_hi double")
 
 
+class SortedWindow:
+    """Both classes' scores in order, and twice the number of pairs that a positive wins,
+    ties half: a score that comes or goes changes it by its rank in the other class."""
+
+    def __init__(self) -> None:
+        self.sides: tuple[list[float], list[float]] = ([], [])
+        self.halves = 0
+
+    def move(self, score: float, label: int, sign: int) -> None:
+        mine, other = self.sides[label], self.sides[1 - label]
+        below = bisect_left(other, score) + bisect_right(other, score)
+        self.halves += sign * (below if label else 2 * len(other) - below)
+        if sign > 0:
+            insort(mine, score)
+        else:
+            del mine[bisect_left(mine, score)]
+
+
 def rank_auc(s: np.ndarray, y: np.ndarray) -> float | None:
     """AUC of one sample, ties half; None with one class only."""
     p, q = s[y == 1], np.sort(s[y == 0])
