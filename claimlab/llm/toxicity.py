@@ -147,37 +147,52 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarr
 
 def build_index(words: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, copies: np.ndarray, rows: np.ndarray, terms: np.ndarray, n: np.ndarray) -> Index:
     """``rows``, ``terms`` and ``n`` hold the examples' terms and counts one after the
-    other; ``copies`` is equal for equal texts, which count as one for G."""
+    other; ``copies`` is equal for equal texts, which count as one for G.  Arrays as long
+    as all examples together have four bytes an entry and few live at a time."""
     _, once = np.unique(np.column_stack([copies, labels]), axis=0, return_index=True)
     first = np.zeros(len(ids), bool)
     first[once] = True
-    label = np.repeat(labels, np.diff(rows))
-    mine = np.repeat(first, np.diff(rows))
-    a, b = (np.bincount(terms[mine & (label == y)], minlength=len(words)).astype(float) for y in (1, 0))
+    sizes = np.diff(rows)
+    a, b = (np.bincount(terms[np.repeat(first & (labels == y), sizes)], minlength=len(words)).astype(float) for y in (1, 0))
     strength = idf * likelihood_ratio(a, b, int((labels[first] == 1).sum()), int((labels[first] == 0).sum()))
-    w = (1 + np.log(n)) * strength[terms]
-    row = np.repeat(np.arange(len(ids)), np.diff(rows))
+    w = (1 + np.log(n.astype(np.float32))) * strength.astype(np.float32)[terms]
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     length = np.sqrt(np.bincount(row, w * w, len(ids)))
-    w = (w / np.where(length[row] > 0, length[row], 1)).astype(np.float32)
-    row, terms, w = row[w > 0], terms[w > 0], w[w > 0]
+    w /= np.where(length > 0, length, 1).astype(np.float32)[row]
+    some = w > 0
+    row, terms, w = row[some], terms[some].astype(np.int32), w[some]
+    ends = lambda x, size: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=size))])
+    rows = ends(row, len(ids))
     # Examples with the same heaviest term stand together.
-    order = np.lexsort((-w, row))
+    top = np.zeros(len(ids), np.float32)
+    np.maximum.at(top, row, w)
+    at = np.flatnonzero(w == top[row])
     heaviest = np.full(len(ids), len(words))
-    heads = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
-    heaviest[row[heads]] = terms[heads]
+    heaviest[row[at[::-1]]] = terms[at[::-1]]
     by = np.lexsort((ids, heaviest))
-    place = np.empty(len(ids), np.int64)
-    place[by] = np.arange(len(ids))
-    row = place[row]
-    forward, inverted = np.lexsort((terms, row)), np.lexsort((row, terms))
-    ends = lambda x, size: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=size))])
-    t, r, v = terms[inverted], row[inverted], w[inverted]
-    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (r[1:] // BLOCK != r[:-1] // BLOCK)]) if len(t) else np.zeros(0, np.int64)
-    top = np.maximum.reduceat(v, new) if len(new) else v
+    order, sizes = spread(rows[:-1][by], rows[1:][by])
+    row, terms, w = np.repeat(np.arange(len(ids), dtype=np.int32), sizes), terms[order], w[order]
+    rows = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(terms, kind="stable")  # rows ascend inside a term
+    t, post_rows, post_weights = terms[order], row[order], w[order]
+    del order, row
+    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (post_rows[1:] // BLOCK != post_rows[:-1] // BLOCK)]) if len(t) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(post_weights, new) if len(new) else post_weights
     peaks = np.zeros(len(words))
-    np.maximum.at(peaks, t[new], top)
-    return Index(words, strength, ids[by], labels[by], ends(row, len(ids)), terms[forward].astype(np.int32), w[forward], ends(t, len(words)), r.astype(np.int32), v,
-                 ends(t[new], len(words)), (r[new] // BLOCK).astype(np.int32), top, peaks, (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0)
+    np.maximum.at(peaks, t[new], most)
+    return Index(words, strength, ids[by], labels[by], rows, terms, w, ends(t, len(words)), post_rows, post_weights,
+                 ends(t[new], len(words)), post_rows[new] // BLOCK, most, peaks, (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0)
+
+
+def joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column one after the other, without a copy a row, and how
+    many each row has."""
+    parts, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if len(chunk) and offsets[-1] > offsets[0] else np.zeros(0, kind))
+        sizes.append(np.diff(offsets).astype(np.int64) // np.dtype(kind).itemsize)
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Index:
@@ -195,11 +210,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Index:
                                              ["doc_id", "label", "copy", "words", "n"])
 
     read = materialise(train.mapInArrow(vectors, "doc_id long, label int, copy long, words binary, n binary"), "toxic-examples")
-    rows = read.toArrow().sort_by("doc_id")
+    rows = read.toArrow()
     discard(read)
-    hashes = [np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()]
-    n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in rows["n"].to_pylist())]).astype(np.int64)
-    words, terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
+    ids, labels, copies = (rows[c].to_numpy() for c in ("doc_id", "label", "copy"))
+    n, _ = joined(rows["n"], "<u4")
+    hashes, sizes = joined(rows["words"], "<u8")
+    del rows
+    words = np.unique(hashes)
+    terms = np.searchsorted(words, hashes).astype(np.int32)
+    del hashes
     # Its size is bounded by the examples' words.
     shared = spark.sparkContext.broadcast(words)
 
@@ -226,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Index:
     frequency = np.zeros(len(words))
     frequency[term[term >= 0]] = have[term >= 0]
     idf = np.log((1 + have[term < 0].sum()) / (1 + frequency))
-    return build_index(words, idf, rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(np.int64), rows["copy"].to_numpy(), np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64), terms, n)
+    return build_index(words, idf, ids, labels.astype(np.int64), copies, np.concatenate([[0], np.cumsum(sizes)]), terms, n)
 
 
 def toxicity_scores(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
