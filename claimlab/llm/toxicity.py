@@ -7,8 +7,9 @@ over the examples' distinct texts.  (With tf x idf alone the neighbours share a
 subject, not its tone; the README has figures.)
 
 Examples are sorted by their heaviest terms and cut into blocks; an inverted index keeps
-each term's postings and its largest weight in every block.  A query adds up the postings
-of its heaviest terms; what the others can add at most is bounded block by block, and
+each term's postings and its largest weight in every block.  A query adds up the weights
+of common terms, for many texts in one product of matrices, and the postings of its
+heaviest others; what the others can add at most is bounded block by block, and
 only examples that may reach the k-th best are worked out in full.  The neighbours are
 exact.  Votes weighted by nearness give the score; the neighbours are the evidence.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,11 @@ NEIGHBOURS, BLOCK = 15, 64
 PRIOR_WEIGHT = 0.5
 #: The terms that are left to the bounds add at most so much of cosine.
 SLACK = 0.05
-#: Cosines are compared to so many decimals, ties go to the smaller id.
-DECIMALS = 9
+#: Cosines are compared to so many decimals, ties go to the smaller id; one that rounds to
+#: zero is none.
+DECIMALS = 7
+#: A term that more than one example in so many has is common; texts scored at a time.
+FREQUENT, AT_ONCE = 8, 64
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
@@ -78,6 +83,11 @@ class Index:
     peaks: np.ndarray  # ... in any block
     prior: float  # share of label 1 among the examples
 
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """A query's weights by term while it is worked out, else zeros."""
+        return np.zeros(len(self.words))
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights of the unit vector) of a text; words that no example
         has weigh nothing, as do words that do not go with the label."""
@@ -92,44 +102,75 @@ class Index:
         terms, w = terms[w > 0], w[w > 0]
         return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """(slot by term or -1, slots x examples): the weights of terms that more than one
+        example in ``FREQUENT`` has, for a product of matrices."""
+        which = np.flatnonzero(np.diff(self.posts) * FREQUENT > len(self.ids))
+        slot, full = np.full(len(self.words), -1, np.int32), np.zeros((len(which), len(self.ids)), np.float32)
+        slot[which] = np.arange(len(which))
+        for k, t in enumerate(which.tolist()):
+            a, b = self.posts[t], self.posts[t + 1]
+            full[k, self.post_rows[a:b]] = self.post_weights[a:b]
+        return slot, full
+
+    def begun(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Texts x examples: cosines as far as the common terms go."""
+        slot, full = self.common
+        wanted = np.zeros((len(vectors), len(full)), np.float32)
+        for row, (terms, weights) in zip(wanted, vectors, strict=True):
+            at = slot[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return wanted @ full
+
     def add(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Cosines as far as these terms go, by example."""
         at, n = spread(self.posts[terms], self.posts[terms + 1])
         return np.bincount(self.post_rows[at], self.post_weights[at] * np.repeat(weights, n), len(self.ids))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a positive cosine, ties by id."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, got: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest with a positive cosine, ties by id.  ``got``:
+        the text's row of ``begun``."""
         if not len(terms) or not len(self.ids):
             return []
-        most = weights * self.peaks[terms]
-        order = np.argsort(-most, kind="stable")
-        terms, weights, most = terms[order], weights[order], most[order]
-        head = 1 + int(np.argmax(most.sum() - np.cumsum(most) <= SLACK))
-        got = self.add(terms[:head], weights[:head])
+        got = self.begun([(terms, weights)])[0] if got is None else got
+        rare = self.common[0][terms] < 0
+        most = np.where(rare, weights * self.peaks[terms], 0.0)
+        order = np.argsort(-most, kind="stable")[: int(rare.sum())]
+        rest, given, most = terms[order], weights[order], most[order]
+        head = int(np.searchsorted(-(most.sum() - np.cumsum(most)), -SLACK)) + 1 if len(rest) else 0
+        if head:
+            got = got + self.add(rest[:head], given[:head])
         best = np.partition(got, -k)[-k] if len(got) > k else 0.0
-        if head < len(terms):
-            at, n = spread(self.tops[terms[head:]], self.tops[terms[head:] + 1])
-            room = np.bincount(self.top_blocks[at], self.top_weights[at] * np.repeat(weights[head:], n), -(-len(self.ids) // BLOCK))
-            hits = np.flatnonzero(got + np.repeat(room, BLOCK)[: len(got)] >= max(best - 1e-7, 1e-12))
-            if len(hits) * 16 < len(got):
-                dense = np.zeros(len(self.words))
-                dense[terms] = weights
-                at, n = spread(self.rows[hits], self.rows[hits + 1])
-                cosines = np.bincount(np.repeat(np.arange(len(hits)), n), self.row_weights[at] * dense[self.row_terms[at]], len(hits))
-            else:
-                cosines = got[hits] + self.add(terms[head:], weights[head:])[hits]
+        least = max(best - 1e-5, 1e-9)
+        if head < len(rest):
+            at, n = spread(self.tops[rest[head:]], self.tops[rest[head:] + 1])
+            room = np.bincount(self.top_blocks[at], self.top_weights[at] * np.repeat(given[head:], n), -(-len(self.ids) // BLOCK))
+            hits = np.flatnonzero(got + np.repeat(room, BLOCK)[: len(got)] >= least)
+        else:
+            hits = np.flatnonzero(got >= least)
+        if len(hits) * 16 < len(got):
+            self.dense[terms] = weights
+            at, n = spread(self.rows[hits], self.rows[hits + 1])
+            cosines = np.bincount(np.repeat(np.arange(len(hits)), n), self.row_weights[at] * self.dense[self.row_terms[at]], len(hits))
+            self.dense[terms] = 0
         else:
-            hits = np.flatnonzero(got >= max(best - 1e-7, 1e-12))
-            cosines = got[hits]
+            cosines = self.add(terms, weights)[hits]
         cosines = np.round(cosines, DECIMALS)
         hits, cosines = hits[cosines > 0], cosines[cosines > 0]
         first = np.lexsort((self.ids[hits], -cosines))[:k]
         return list(zip(cosines[first].tolist(), hits[first].tolist(), strict=True))
 
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int]]]]:
+        vectors = [self.vector(t) for t in texts]
+        return [self.voted(self.nearest(*v, got=row)) for v, row in zip(vectors, self.begun(vectors), strict=True)]
+
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         """Votes weighted by nearness (the reciprocal of the cosine distance, softened),
         with the prior as one more voter; and the neighbours as evidence."""
-        near = self.nearest(*self.vector(text))
+        return self.voted(self.nearest(*self.vector(text)))
+
+    def voted(self, near: list[tuple[float, int]]) -> tuple[float, list[tuple[float, int]]]:
         votes = [1 / (1.1 - min(c, 1.0)) for c, _ in near]
         given = sum(v * int(self.labels[i]) for v, (_, i) in zip(votes, near, strict=True))
         return (given + PRIOR_WEIGHT * self.prior) / (sum(votes) + PRIOR_WEIGHT), near
@@ -264,7 +305,8 @@ def toxicity_scores(docs: DataFrame, index: Index, threshold: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            got = [index.score(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            got = [x for k in range(0, len(texts), AT_ONCE) for x in index.scores(texts[k : k + AT_ONCE])]
             shown = [[{"doc_id": int(index.ids[i]), "cosine": c, "label": int(index.labels[i])} for c, i in near] for _, near in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array(shown, evidence)], ["doc_id", "score", "evidence"])
 

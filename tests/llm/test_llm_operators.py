@@ -604,7 +604,7 @@ def brute_toxicity(texts_of_docs, examples, queries, k=15):
     for q in queries:
         v = unit(q)
         near = sorted(((-sum(x * u.get(w, 0) for w, x in v.items()), i, y) for i, y, u in vectors))
-        near = [(-c, i, y) for c, i, y in near if c < -1e-9][:k]
+        near = [(-c, i, y) for c, i, y in near if round(-c, toxicity.DECIMALS) > 0][:k]
         votes = [1 / (1.1 - min(c, 1)) for c, _, _ in near]
         yield (sum(x * y for x, (_, _, y) in zip(votes, near, strict=True)) + 0.5 * prior) / (sum(votes) + 0.5), [c for c, _, _ in near]
 
@@ -646,7 +646,7 @@ def test_block_max_bounds_lose_nobody(monkeypatch, slack):
         ts, ws = index.weigh(r, c)
         cosine = np.round(dense[:, ts] @ ws, toxicity.DECIMALS)
         order = np.lexsort((index.ids, -cosine))[: toxicity.NEIGHBOURS]
-        assert [(pytest.approx(cosine[i], abs=2e-9), int(index.ids[i])) for i in order if cosine[i] > 0] == [(x, int(index.ids[i])) for x, i in index.nearest(ts, ws)]
+        assert [(pytest.approx(cosine[i], abs=2e-7), int(index.ids[i])) for i in order if cosine[i] > 0] == [(x, int(index.ids[i])) for x, i in index.nearest(ts, ws)]
 
 
 def test_toxicity_is_calibrated(spark):
