@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimlab.functions import expressions as X
 from claimlab.operators import bootstrap as B
 from claimlab.operators import cases as K
 from claimlab.operators import diagnose as D
