@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import cached_property
 
 import numpy as np
@@ -63,6 +63,11 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
+def ends(places: np.ndarray, size: int) -> np.ndarray:
+    """Where the entries of each place begin in a sorted list of places, and the end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(places, minlength=size))])
+
+
 @dataclass
 class Index:
     """Block-max inverted index over the examples' unit vectors."""
@@ -74,15 +79,28 @@ class Index:
     rows: np.ndarray  # examples: where each one's terms begin, and the end
     row_terms: np.ndarray
     row_weights: np.ndarray
-    posts: np.ndarray  # terms: where each one's postings begin, and the end
-    post_rows: np.ndarray
-    post_weights: np.ndarray
-    tops: np.ndarray  # terms: where each one's blocks begin, and the end
-    top_blocks: np.ndarray
-    top_weights: np.ndarray  # the largest weight in the block
-    peaks: np.ndarray  # ... in any block
     prior: float  # share of label 1 among the examples
 
+    def __getstate__(self) -> dict:
+        """What travels: the examples' rows.  Whoever asks inverts them once."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    @cached_property
+    def inverted(self) -> tuple[np.ndarray, ...]:
+        """posts: where each term's postings begin, and the end; post_rows, post_weights;
+        tops: where each term's blocks begin, and the end; top_blocks, top_weights: the
+        largest weight in the block; peaks: in any block."""
+        order = np.argsort(self.row_terms, kind="stable")  # rows ascend inside a term
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.rows))
+        t, post_rows, post_weights = self.row_terms[order], row[order], self.row_weights[order]
+        new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (post_rows[1:] // BLOCK != post_rows[:-1] // BLOCK)]) if len(t) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(post_weights, new) if len(new) else post_weights
+        peaks = np.zeros(len(self.words))
+        np.maximum.at(peaks, t[new], most)
+        return ends(t, len(self.words)), post_rows, post_weights, ends(t[new], len(self.words)), post_rows[new] // BLOCK, most, peaks
+
+    posts, post_rows, post_weights, tops, top_blocks, top_weights, peaks = (property(lambda self, k=k: self.inverted[k]) for k in range(7))
+
     @cached_property
     def dense(self) -> np.ndarray:
         """A query's weights by term while it is worked out, else zeros."""
@@ -202,7 +220,6 @@ def build_index(words: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.
     w /= np.where(length > 0, length, 1).astype(np.float32)[row]
     some = w > 0
     row, terms, w = row[some], terms[some].astype(np.int32), w[some]
-    ends = lambda x, size: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=size))])
     rows = ends(row, len(ids))
     # Examples with the same heaviest term stand together.
     top = np.zeros(len(ids), np.float32)
@@ -212,17 +229,9 @@ def build_index(words: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.
     heaviest[row[at[::-1]]] = terms[at[::-1]]
     by = np.lexsort((ids, heaviest))
     order, sizes = spread(rows[:-1][by], rows[1:][by])
-    row, terms, w = np.repeat(np.arange(len(ids), dtype=np.int32), sizes), terms[order], w[order]
+    terms, w = terms[order], w[order]
     rows = np.concatenate([[0], np.cumsum(sizes)])
-    order = np.argsort(terms, kind="stable")  # rows ascend inside a term
-    t, post_rows, post_weights = terms[order], row[order], w[order]
-    del order, row
-    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (post_rows[1:] // BLOCK != post_rows[:-1] // BLOCK)]) if len(t) else np.zeros(0, np.int64)
-    most = np.maximum.reduceat(post_weights, new) if len(new) else post_weights
-    peaks = np.zeros(len(words))
-    np.maximum.at(peaks, t[new], most)
-    return Index(words, strength, ids[by], labels[by], rows, terms, w, ends(t, len(words)), post_rows, post_weights,
-                 ends(t[new], len(words)), post_rows[new] // BLOCK, most, peaks, (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0)
+    return Index(words, strength, ids[by], labels[by], rows, terms, w, (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0)
 
 
 def joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
