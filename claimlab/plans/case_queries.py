@@ -36,14 +36,6 @@ def drift_monitor(spark, sf):
     return rounded(D.drift_monitor(V.stream(spark, sf)))
 
 
-@query()
-def drift_intervals(spark, sf):
-    """Windows with bootstrap intervals, every fiftieth user's stream.  No SQL: numpy's
-    generator draws the blocks."""
-    own = V.read(spark, sf, "events").where("user_id % 50 = 0").select("ts", "event_id", F.col("value").alias("score"), (F.col("event_type") == "purchase").cast("int").alias("label"))
-    return rounded(D.rolling_windows(own, 60, 3, n_boot=50).select("tie", "auc", "auc_lo", "auc_hi", "calib_err"))
-
-
 MOMENTS = """, rows3 AS (SELECT date, ret AS y, passive AS p, xs AS q FROM series),
 mo AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(p) AS sp, sum(q) AS sq, sum(p * p) AS spp, sum(p * q) AS spq, sum(q * q) AS sqq, sum(y) AS sy, sum(p * y) AS spy, sum(q * y) AS sqy, sum(y * y) AS syy FROM rows3),
 co AS (SELECT *, spp * sqq - spq * spq AS c00, sq * spq - sp * sqq AS c01, sp * spq - spp * sq AS c02, n * sqq - sq * sq AS c11, sp * sq - n * spq AS c12, n * spp - sp * sp AS c22 FROM mo),
@@ -115,7 +107,7 @@ _CELL_SQL = ", ".join(f"{{'label': 'q>={a}/d<={b}', 'a': {a}, 'b': {b}}}" for a,
 
 
 @query(f"""WITH {TRADES}, u AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS y, l_suppkey AS ticker, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY 1, 2), c AS (SELECT unnest([{_CELL_SQL}]) AS c),
-m AS (SELECT c.label AS label, y, ticker FROM u JOIN c ON q >= c.a AND d <= c.b), tr AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS y, l_suppkey AS ticker, pnl FROM g WHERE l_discount >= 0.09),
+m AS (SELECT c.label AS label, y, ticker FROM u JOIN c ON q >= c.a AND d <= c.b), tr AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS y, l_suppkey AS ticker, pnl FROM g),
 si AS (SELECT label, count(*) AS members, count(DISTINCT CASE WHEN ticker NOT IN (SELECT ticker FROM tr) THEN ticker END) AS untested FROM m GROUP BY label),
 pe AS (SELECT label, count(*) AS n_trades, avg(pnl) AS mean_pnl, quantile_cont(pnl, 0.5) AS median_pnl, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win FROM tr JOIN m USING (y, ticker) GROUP BY label),
 al AS (SELECT si.label, members, untested, coalesce(n_trades, 0) AS n_trades, mean_pnl, median_pnl, win FROM si LEFT JOIN pe USING (label)), ba AS (SELECT mean_pnl AS bm, median_pnl AS bd FROM al WHERE label = 'q>=25/d<=0.05')
@@ -125,7 +117,7 @@ def universe_robustness(spark, sf):
     per = V.read(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("y"), F.col("l_suppkey").alias("ticker")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"))
     cells = F.array(*[F.struct(F.lit(f"q>={a}/d<={b}").alias("label"), F.lit(float(a)).alias("a"), F.lit(b).alias("b")) for a, b in CELLS])
     members = per.withColumn("c", F.explode(F.filter(cells, lambda c: (F.col("q") >= c["a"]) & (F.col("d") <= c["b"])))).select("c.label", "y", "ticker")
-    trades = _ledger(spark, sf).where("l_discount >= 0.09").select(F.year("l_shipdate").alias("y"), F.col("l_suppkey").alias("ticker"), "dollar_pnl")
+    trades = _ledger(spark, sf).select(F.year("l_shipdate").alias("y"), F.col("l_suppkey").alias("ticker"), "dollar_pnl")
     out = K.perturbed(trades, members, ["y", "ticker"], "ticker", "q>=25/d<=0.05")
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("mean_pnl", "median_pnl")}))
 
