@@ -160,7 +160,8 @@ def implied_vol(price: Column, s: Column, k: Column, t: Column, r: float, call:
 
     Newton's method on whole Arrow batches, from the volatility at which the price bends,
     inside a bracket that each step narrows; a step that would leave the bracket halves
-    it.  Built-in functions could only say this as an interpreted loop, a row at a time.
+    it.  A price that misses the bracket's own prices by rounding alone is inside: deep in
+    the money all low volatilities give one price.  Built-in functions could only say this as an interpreted loop, a row at a time.
     """
     side = 1.0 if call else -1.0
     cdf, pdf = normal_arrays()
@@ -176,7 +177,8 @@ def implied_vol(price: Column, s: Column, k: Column, t: Column, r: float, call:
                 return side * s * cdf(side * d1) - side * pv * cdf(side * (d1 - width)) - p, s * root * pdf(d1)
 
             lo, hi = np.full(len(p), 1e-4), np.full(len(p), 5.0)
-            fits = (t > 0) & (p > 0) & (p >= np.maximum(side * (s - k), 0.0) - 1e-6) & (off(lo)[0] <= 0) & (off(hi)[0] >= 0)
+            rounding = 1e-14 * (s + pv)
+            fits = (t > 0) & (p > 0) & (p >= np.maximum(side * (s - k), 0.0) - 1e-6) & (off(lo)[0] <= rounding) & (off(hi)[0] >= -rounding)
             v = np.clip(np.sqrt(2 * np.abs(m) / t), 0.01, 4.0)
             for _ in range(steps):
                 miss, slope = off(v)

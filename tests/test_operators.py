@@ -329,3 +329,13 @@ def test_implied_volatility_of_all_parts(spark):
     assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
     found = [r for r in rows if r["iv"] is not None]
     assert len(found) > 0.9 * len(rows) and all(abs(r["price"] - r["repriced"]) < 1e-3 for r in found)
+
+
+def test_implied_volatility_at_the_edge_of_its_bracket(spark):
+    """Deep in the money the price misses that of the least volatility by rounding."""
+    deep = spark.range(400).select(F.lit(910.1).alias("s"), (910.1 * (0.8 + 0.0005 * F.col("id"))).alias("k"), F.lit(2 / 52).alias("t"), F.lit(0.11).alias("v"))
+    part = spark.range(1).select(F.lit(910.1).alias("s"), (910.1 * (0.8 + 0.01 * F.lit(4))).alias("k"), ((1 + F.lit(1)) / 52.0).alias("t"), (0.1 + 0.01 * F.lit(1)).alias("v"))
+    s, k, t, v = map(F.col, "sktv")
+    priced = deep.union(part).withColumn("price", X.bs_price(s, k, t, 0.02, v))
+    got = priced.withColumn("iv", X.implied_vol(F.col("price"), s, k, t, 0.02)).select("price", X.bs_price(s, k, t, 0.02, F.col("iv")).alias("again")).collect()
+    assert all(r["again"] is not None and abs(r["price"] - r["again"]) < 1e-9 for r in got)
