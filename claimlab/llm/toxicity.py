@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held_out, materialise, session
+from .common import discard, drop_shuffle_files, held_out, materialise, session
 from .labelled import training_rows
 
 #: Bound: labelled documents to learn from.
@@ -228,27 +228,22 @@ def build_index(words: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.
     heaviest = np.full(len(ids), len(words))
     heaviest[row[at[::-1]]] = terms[at[::-1]]
     by = np.lexsort((ids, heaviest))
-    order, sizes = spread(rows[:-1][by], rows[1:][by])
-    terms, w = terms[order], w[order]
-    rows = np.concatenate([[0], np.cumsum(sizes)])
+    del row, at, some
+    moved = np.concatenate([[0], np.cumsum(np.diff(rows)[by])])
+    new_terms, new_w = np.empty_like(terms), np.empty_like(w)
+    for k in range(0, len(by), AT_ONCE):
+        part = by[k : k + AT_ONCE]
+        order, _ = spread(rows[part], rows[part + 1])
+        new_terms[moved[k] : moved[k] + len(order)], new_w[moved[k] : moved[k] + len(order)] = terms[order], w[order]
+    rows, terms, w = moved, new_terms, new_w
     return Index(words, strength, ids[by], labels[by], rows, terms, w, (float(labels.sum()) + 0.5) / (len(labels) + 1) if len(labels) else 0.0)
 
 
-def joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a binary column one after the other, without a copy a row, and how
-    many each row has."""
-    parts, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
-    for chunk in column.chunks:
-        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if len(chunk) and offsets[-1] > offsets[0] else np.zeros(0, kind))
-        sizes.append(np.diff(offsets).astype(np.int64) // np.dtype(kind).itemsize)
-    return np.concatenate(parts), np.concatenate(sizes)
-
-
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Index:
     """Examples and terms from at most ``most`` labelled rows, document frequencies from
     all documents.  The numbers of the examples' words come to the driver."""
     spark = session(docs)
+    drop_shuffle_files(spark)  # and an earlier index
     train = training_rows(docs, labels, "toxic", most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +255,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Index:
                                              ["doc_id", "label", "copy", "words", "n"])
 
     read = materialise(train.mapInArrow(vectors, "doc_id long, label int, copy long, words binary, n binary"), "toxic-examples")
-    rows = read.toArrow()
+    # A part at a time: the driver's JVM never holds all of them.
+    ids, labels, copies, sizes, hashes, n = [], [], [], [], bytearray(), bytearray()
+    for row in read.toLocalIterator():
+        ids.append(row["doc_id"])
+        labels.append(row["label"])
+        copies.append(row["copy"])
+        sizes.append(len(row["n"]) // 4)
+        hashes += row["words"]
+        n += row["n"]
     discard(read)
-    ids, labels, copies = (rows[c].to_numpy() for c in ("doc_id", "label", "copy"))
-    n, _ = joined(rows["n"], "<u4")
-    hashes, sizes = joined(rows["words"], "<u8")
-    del rows
+    ids, labels, copies, sizes = (np.array(x, np.int64) for x in (ids, labels, copies, sizes))
+    hashes, n = np.frombuffer(hashes, "<u8"), np.frombuffer(n, "<u4")
     words = np.unique(hashes)
-    terms = np.searchsorted(words, hashes).astype(np.int32)
+    terms = np.empty(len(hashes), np.int32)
+    for k in range(0, len(hashes), 1 << 18):
+        terms[k : k + (1 << 18)] = np.searchsorted(words, hashes[k : k + (1 << 18)])
     del hashes
     # Its size is bounded by the examples' words.
     shared = spark.sparkContext.broadcast(words)
@@ -291,11 +294,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Index:
     told = df.toArrow()
     discard(df)
     shared.destroy()
+    drop_shuffle_files(spark)
     term, have = told["term"].to_numpy(), told["n"].to_numpy()
     frequency = np.zeros(len(words))
     frequency[term[term >= 0]] = have[term >= 0]
     idf = np.log((1 + have[term < 0].sum()) / (1 + frequency))
-    return build_index(words, idf, ids, labels.astype(np.int64), copies, np.concatenate([[0], np.cumsum(sizes)]), terms, n)
+    return build_index(words, idf, ids, labels, copies, np.concatenate([[0], np.cumsum(sizes)]), terms, n)
 
 
 def toxicity_scores(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:

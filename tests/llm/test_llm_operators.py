@@ -660,3 +660,34 @@ def test_toxicity_is_calibrated(spark):
     off = sum((bins == b).mean() * abs(score[bins == b].mean() - truth[bins == b].mean()) for b in set(bins.tolist()))
     assert len(held) > 50 and off < 0.1
     assert ((score >= 0.5) == truth).mean() > 0.9
+
+
+def test_toxicity_examples_come_in_parts(spark, monkeypatch):
+    """The driver's JVM never collects the examples' words as one result."""
+    docs = spark.createDataFrame([(k, f"word{k % 7} calm {'vile' if k % 3 == 0 else 'kind'}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    kind, plain = type(docs), type(docs).toArrow
+
+    def watched(self, *args, **kwargs):
+        assert "words" not in self.columns
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "toArrow", watched)
+    index = toxicity.fit(docs, labels)
+    assert index.score("vile")[0] > 0.5 > index.score("kind")[0]
+
+
+def test_decontamination_joins_texts_alike_at_any_size(spark, monkeypatch):
+    """Small tables shuffle texts as large ones do, so what is moved grows with the input."""
+    plans, plain = {}, decontaminate.materialise
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(decontaminate, "materialise", watched)
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"before it {text} and after"), (2, "nothing of it at all here")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(9, text)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in got] == [(1, 9, 1.0)]
+    assert plans["windows"].count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plans["windows"]
