@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import parallelism, posix_path, session, work_path
 
 #: Words a generation holds, and the bytes of the longest that is held: with two
-#: generations 40 MB of a worker's memory, and 80 MB if all words are of that length.
-REMEMBERED, LONGEST = 100_000, 64
+#: generations about 120 MB of a worker's memory, 240 MB if all words are of that length.
+REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text, and words, that go through at a time.
 SLAB, AT_ONCE = 1 << 20, 4_096
 #: The settings under which words can be encoded one by one.
@@ -41,7 +41,12 @@ WORDWISE = {
         {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
-STOPS = re.compile(rb"(?<=[a-z])[.,;:!?]+(?=\s)")
+#: ASCII signs but the apostrophe, of which tokens can begin, between a letter and white
+#: space.  The first sign stands before the letter's test, which so runs at signs alone.
+_SIGN = rb"[!-&(-/:-@\[-`{-~]"
+STOPS = re.compile(rb"%b(?<=[a-z]%b)%b*(?=\s)" % (_SIGN, _SIGN, _SIGN))
+#: Between words that are encoded together; its one token is in no word without it.
+MARK = "\x01"
 WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 SHARD = "shard int, folder string, n_docs long, n_ids long"
 
@@ -50,10 +55,10 @@ class WordIds:
     """Ids of texts, as bytes, by words between ASCII white space.
 
     Under the settings ``WORDWISE`` white space only parts tokens, so a text's ids are
-    those of its words.  The words of a batch that are not remembered are joined by
-    spaces and encoded in one call; the tokens' offsets tell them apart.  Two forms are
-    made one first, as the tokenizer would: ASCII capitals go, unless a combining mark
-    might compose with one or a special string might be in the text, and stops between
+    those of its words.  The words of a batch that are not remembered are encoded in one
+    call, with a mark between them; those with that mark inside go one by one.  Two forms
+    are made one first, as the tokenizer would: ASCII capitals go, unless a combining mark
+    might compose with one or a special string might be in the text, and signs between
     a letter and white space stand alone.  Two generations of words are remembered: a
     full one replaces the older.  Other tokenizers encode whole texts.
     """
@@ -63,6 +68,8 @@ class WordIds:
         self.dtype, self.known, self.older = dtype, {}, {}
         self.wordwise = (all(told.get(k) == v for k, v in WORDWISE.items())
                          and not any(WHITE.search(t["content"].encode()) or "<" not in t["content"] or t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens", ())))
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.wordwise = self.wordwise and len(self.mark) == 1
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -76,15 +83,18 @@ class WordIds:
     def learn(self, missing: set[bytes]) -> None:
         again = missing & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
-        new, width = list(missing - again), np.dtype(self.dtype).itemsize
+        new = missing - again
+        odd = [w for w in new if MARK.encode() in w]
+        self.known.update((w, self.whole(w.decode())) for w in odd)
+        new, width = list(new.difference(odd)), np.dtype(self.dtype).itemsize
         for k in range(0, len(new), AT_ONCE):
             part = new[k : k + AT_ONCE]
-            plain = [w.decode() for w in part]
-            got = self.library.encode(" ".join(plain), add_special_tokens=False)
-            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-            cuts = (np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in plain)])) * width).tolist()
-            raw = np.array(got.ids, self.dtype).tobytes()
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            # In this form the library works no offsets out.
+            got, = self.library.encode_batch_fast([f" {MARK} ".join([*(w.decode() for w in part), ""])], add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            ends = (np.flatnonzero(ids == self.mark[0]) * width).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + width for e in ends)], ends, strict=False)), strict=True))
 
     def joined(self, parts: list[list[bytes]]) -> list[bytes]:
         need = set().union(*parts)
@@ -136,6 +146,12 @@ def library(path: str):
     return coder, {k: told.get(k) for k in ("normalizer", "pre_tokenizer", "added_tokens")}
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str, dtype: str) -> WordIds:
+    """The words a worker process remembers: tasks share them, as most are in any task."""
+    return WordIds(path, dtype)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 1,
                       shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write; returns the manifest: shard, folder, n_docs, n_ids, base.
@@ -157,7 +173,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     keyed = keyed.withColumn("mark", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer_path, dtype)  # what it remembers ends with the task
+        coder = word_ids(tokenizer_path, dtype)
         context = TaskContext.get()
         shard, item, end = context.partitionId(), np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
         os.makedirs(local, exist_ok=True)

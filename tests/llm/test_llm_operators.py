@@ -691,3 +691,12 @@ def test_decontamination_joins_texts_alike_at_any_size(spark, monkeypatch):
     got = decontaminate.contaminated(docs, spark.createDataFrame([(9, text)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in got] == [(1, 9, 1.0)]
     assert plans["windows"].count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plans["windows"]
+
+
+def test_signs_stand_alone_and_marks_are_kept_apart():
+    """Words with signs behind them are one word each; ids are the library's."""
+    coder = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"), "<u2")
+    assert coder.wordwise and coder.words(b"calm$$$ Calm.%%% calm") == [b"calm", b"$$$", b"calm", b".%%%", b"calm"]
+    texts = ["a\x01b \x01 c\x01", "\x01", "it's.'s x'$ y$'t (1)$$ $$z", "calm$$$ calm.%%%\tvile,***\n_x_ x_", "é$$ é$$ <x>$ z", "w" * 99 + "## w", ""]
+    for again in range(2):
+        assert [b"".join(p) for p in coder.batch(texts)] == [coder.whole(t) for t in texts]
