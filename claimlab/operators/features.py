@@ -106,7 +106,8 @@ def kernel_weights(rows: DataFrame, vector: str, window: int, gamma: float = 2.0
         mine = part.index[(part["own"] == part["chunk"]) & (part.index >= window)]
         # A window's matrix is a block on the diagonal of the chunk's.
         weights = [least_squares(kernel[k - window : k, k - window : k], kernel[k - window : k, k]) for k in mine]
-        return pd.DataFrame({"pos": part.loc[mine, "pos"], "weights": weights})
+        # Without a row that has a window before it, pandas would take the weights for numbers.
+        return pd.DataFrame({"pos": part.loc[mine, "pos"], "weights": pd.Series(weights, mine, object)})
 
     return dealt.groupBy("chunk").applyInPandas(run, "pos long, weights array<double>")
 
